@@ -13,7 +13,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
@@ -59,6 +59,29 @@ def keep_small_side(small: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(small) if rows <= limit else small.hint("merge")
 
 
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(node, component) of an undirected graph given by its edges (u, v); a component is named by its lowest node.
+
+    Alternates large-star and small-star steps, each in memory of one group's order only; ends after a number of
+    rounds that grows with the logarithm of the nodes. NULLs and loops are dropped, repeated edges count once.
+    """
+    store = Stored(spark, "components")
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v and u is not null and v is not null").distinct()
+    now, at, before = store.write(now, "0"), 0, None
+    mark = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    least = Window.partitionBy("u")
+    while (state := mark(now)) != before:
+        before = state
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.withColumn("m", F.least("u", F.min("v").over(least))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().withColumn("m", F.min("v").over(least))
+        small = low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
+        at += 1
+        now = store.write(small, str(at))
+        store.drop(str(at - 1))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
 # ---- bytes ---------------------------------------------------------------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -105,7 +128,7 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def slices(column: pa.Array, most_bytes: int = 8 << 20):
+def slices(column: pa.Array, most_bytes: int = 2 << 20):
     """(start, stop) row ranges whose texts hold about so many bytes, one row at least."""
     n = len(column)
     if not n:
