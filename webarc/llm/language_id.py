@@ -192,7 +192,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample_chars:
 def identify(docs: DataFrame, model: Model | None, text: str = "text", columns: dict[str, str] | None = None, keep: list[str] | None = None, only_accepted: bool = False, reject_rate: float = REJECT_RATE) -> DataFrame:
     """Adds what the parse found to the columns in keep (all, if None).
 
-    columns renames the results: predicted_lang (NULL if rejected), n_units (letters and gaps),
+    columns renames the results, or leaves out those named '': predicted_lang (NULL if rejected), n_units (letters and gaps),
     phrases (of the winner), phrase_rate (phrases a unit), margin (how many more phrases the second
     needs, as a share) and rejected. A result replaces an input column of the same name.
 
