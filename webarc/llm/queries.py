@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, ngram_join
+from . import bpe, exact_dedup, fingerprints, language_id, mixing, ngram_join, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketch is written as text, its hashes parted by commas."""
+    return fingerprints.fingerprints(documents(spark, sf_dir)).withColumn("sketch", F.array_join("sketch", ","))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
@@ -35,12 +44,18 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_pairs(documents(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 6))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_document_fingerprints": fingerprints.FINGERPRINTS_SQL,
         "op2_source_mixing": mixing.MIXTURE_SQL,
         "op6_exact_dedup": """
 SELECT doc_id,
