@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, language_id, mixing, ngram_join, toxicity
+from . import bpe, exact_dedup, fingerprints, language_id, mixing, ngram_join, paragraphs, pii, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(documents(spark, sf_dir))
+
+
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.duplicate_paragraphs(documents(spark, sf_dir))
+
+
 def op5_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(documents(spark, sf_dir), keep=["doc_id"])
 
@@ -44,6 +52,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_pairs(documents(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 6))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
@@ -62,6 +74,7 @@ SELECT doc_id,
   CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS keep_id,
   text IS NOT NULL AND row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) > 1 AS is_duplicate
 FROM documents""",
+        "op9_suffix_array_dedup": suffix_dedup.PASSAGES_SQL,
         "op8_ngram_jaccard_join": rf"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws
