@@ -74,18 +74,19 @@ def _utf8(data: bytes) -> bool:
     return True
 
 
-#: Single-byte codecs and the letters that are frequent in the languages written in them, the most frequent first.
+#: Single-byte codecs and, by language, the letters beyond ASCII that are frequent in it, the most frequent first.
 _TYPICAL = {
-    "cp1252": "äöüßéèêàçñáíóúâîôëïæøåÄÖÜÉ«»’“”–",
-    "iso8859-2": "ąęłóśżćńźčěřšžůáéíýďťňőűţşăŁŚŽČŠ",
-    "cp1250": "ąćęłńśźżčďěňřšťůžőűţşăáéíóúýŁŚŽČŠ",
-    "cp1251": "оеаинтсрвлкмдпуяызьбгчйхжшюцщэфъё",
-    "koi8-r": "оеаинтсрвлкмдпуяызьбгчйхжшюцщэфъё",
-    "cp1253": "αοιετσνηυρπκμλςωγδθχφβξζψάέήίόύώ",
-    "cp1255": "יוהלאתרמבשנעדחקפגצכזטסםןךףץ",
-    "cp1256": "اليمنورتبةعدسفهكقحجشصطخغذئزثءؤض",
-    "cp874": "านรอกเงมยลวดทสตะปบคหแจพชขใไโผ",
+    "cp1252": ("éèàêçùâîôûëïœÉÀÈÇ", "üäößÜÄÖ", "óíáéñúü¿¡Ñ", "ãçáéóíêõâúà", "åäöøæÅÄÖØÆ", "àèéìòù"),
+    "iso8859-2": ("ąęłóśżćńźŁŚŻ", "áíéřěšžčýůúňťďóŠŽČŘ", "áéíóöőúüűÁÉÖ", "ščžćđŠČŽ", "ăâîşţ"),
+    "cp1250": ("ąęłóśżćńźŁŚŻ", "áíéřěšžčýůúňťďóŠŽČŘ", "áéíóöőúüűÁÉÖ", "ščžćđŠČŽ", "ăâîşţ"),
+    "cp1251": ("оеаинтсрвлкмдпуяызьбгчйхжшюцщэфъё", "оаинвертсікудмлпзяьбгйчхцїжшющєґ"),
+    "koi8-r": ("оеаинтсрвлкмдпуяызьбгчйхжшюцщэфъё",),
+    "cp1253": ("αοιετσνηυρπκμλςωγδθχφβξζψάέήίόύώ",),
+    "cp1255": ("יוהלאתרמבשנעדחקפגצכזטסםןךףץ",),
+    "cp1256": ("اليمنورتبةعدسفهكقحجشصطخغذئزثءؤض",),
+    "cp874": ("านรอกเงมยลวดทสตะปบคหแจพชขใไโผ",),
 }
+_LATIN = ("cp1252", "iso8859-2", "cp1250")
 
 
 def _multibyte(data: bytes) -> str | None:
@@ -142,12 +143,15 @@ class EncodingDetector:
             return wide
         best, most = None, 0.0
         high = max(1, sum(b > 127 for b in data))
-        for name, letters in _TYPICAL.items():
+        for name, sets in _TYPICAL.items():
             text = data.decode(name, "replace")
-            worth = {c: 1 - 0.5 * i / len(letters) for i, c in enumerate(letters)}
-            common = sum(worth.get(c, 0.0) for c in text) - 2 * text.count("�")
-            mixed = len(re.findall(r"[a-zß-ÿ][A-ZÀ-Þ]", text)) if name in ("cp1252", "cp1250", "iso8859-2") else len(re.findall(r"[а-я][А-Я]", text))
-            score = (common - mixed) / high
+            wrong = 2 * text.count("�")
+            if name in _LATIN:
+                wrong += len(re.findall(r"[a-zß-ÿ][A-ZÀ-Þ]", text))
+            else:
+                wrong += 2 * len(re.findall(r"[A-Za-z][^\W\d_A-Za-z]|[^\W\d_A-Za-z][A-Za-z]|[а-я][А-Я]", text))
+            worth = max(sum(1 - 0.5 * letters.index(c) / len(letters) for c in text if c in letters) for letters in sets)
+            score = (worth - wrong) / high
             if score > most:
                 best, most = name, score
         return best

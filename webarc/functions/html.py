@@ -60,15 +60,11 @@ def html_select(page: Column | str, css: str) -> Column:
 
     @F.pandas_udf(f"array<{NODE}>")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if h is None else [_arrow(n) for n in parse(h).document.query_selector_all(css)] for h in s], dtype=object)
+        return pd.Series([None if h is None else [_row(n) for n in parse(h).document.query_selector_all(css)] for h in s], dtype=object)
 
     return run(_c(page))
 
 
-def _arrow(n: Node) -> dict:
-    return _row(n) | {"attrs": list(n.attrs.items())}
-
-
 def html_select_first(page: Column | str, css: str) -> Column:
     return F.get(html_select(page, css), F.lit(0))
 

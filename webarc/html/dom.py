@@ -26,7 +26,7 @@ _TABLE_PARTS = frozenset("caption col colgroup tbody thead tfoot tr td th".split
 _IMPLIED_END = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
 
 _TOKEN = re.compile(
-    r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|!doctype(?P<doctype>[^>]*)(?:>|\Z)|(?P<bogus>[!?/](?![a-zA-Z])[^>]*)(?:>|\Z)"
+    r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|!doctype(?P<doctype>[^>]*)(?:>|\Z)|(?P<bogus>[!?][^>]*|/(?![a-zA-Z])[^>]*)(?:>|\Z)"
     r"|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"'=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=|[\"'])*)(?:>|\Z))",
     re.S | re.I,
 )
