@@ -73,6 +73,24 @@ def _mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def _numbers(run: str) -> list[tuple[int, int]]:
+    """A run of digits and marks as one number, if it is shaped like one, else what blanks part in it."""
+    if " " not in run or _STRICT["phone"].fullmatch(run) or _STRICT["card"].fullmatch(run):
+        return [(0, len(run))]
+    return [m.span() for m in re.finditer(r"[^ ]+", run)]
+
+
+def _number_kind(s: str) -> str | None:
+    digits = re.sub(r"\D", "", s)
+    if re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", s):
+        return "ip"
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", s):
+        return "national_id"
+    if 13 <= len(digits) <= 19 and "." not in s and "(" not in s and s[0] != "+":
+        return "card"
+    return "phone" if 7 <= len(digits) <= 15 else None
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, stop, kind) of spans that may be personal data, by place, none within another; of overlapping ones the longer stays."""
     out = []
@@ -84,19 +102,9 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             out.append((head.start(), tail.end(), "email"))
         at = text.find("@", at + 1)
     for m in _DIGITS.finditer(text):
-        s = m.group()
-        digits = re.sub(r"\D", "", s)
-        if re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", s):
-            kind = "ip"
-        elif re.fullmatch(r"\d{3}-\d{2}-\d{4}", s):
-            kind = "national_id"
-        elif 13 <= len(digits) <= 19 and "." not in s and "(" not in s and s[0] != "+":
-            kind = "card"
-        elif 7 <= len(digits) <= 15:
-            kind = "phone"
-        else:
-            continue
-        out.append((m.start(), m.end(), kind))
+        for start, stop in _numbers(m.group()):
+            if kind := _number_kind(m.group()[start:stop]):
+                out.append((m.start() + start, m.start() + stop, kind))
     for m in _ASSIGNED.finditer(text):
         s = m.group(1)
         if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
