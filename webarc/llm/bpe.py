@@ -16,21 +16,25 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import buffer_of, slices
+
 #: Folder of the public tokenizer files and the one that the queries use; both can be given.
 FOLDER = os.environ.get("WEBARC_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
 #: Splits a text into words, each encoded on its own; every character belongs to one.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Encodings of words that a worker remembers; the memory is emptied when full. It changes no result.
-REMEMBERED = 400_000
+#: Encodings of words, of runs behind a blank, and arcs that a worker remembers; each memory is emptied when full. It changes no result.
+REMEMBERED = 120_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -53,7 +57,7 @@ class Automaton:
         made = set(self.single.values()) | set(self.parts)
         self.by_bytes = {v: k for v, k in self.by_bytes.items() if k in made}  # special tokens have no arc
         self.longest = max((len(v) for v in self.by_bytes), default=1)
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
 
     @classmethod
     def from_file(cls, path: str) -> Automaton:
@@ -110,49 +114,82 @@ class Automaton:
 
     def arc(self, a: int, b: int) -> bool:
         """Whether b can follow a once all gadgets are in."""
-        known = self.table.get((a, b))
+        key = a << 24 | b
+        known = self.table.get(key)
         if known is None:
-            if len(self.table) > 4_000_000:
+            if len(self.table) > 2 * REMEMBERED:
                 self.table.clear()
-            known = self.table[a, b] = self._follows(a, b, 1 << 60)
+            known = self.table[key] = self._follows(a, b, 1 << 60)
         return known
 
+    def _build(self) -> None:
+        """The table of token beginnings (state << 8 | byte -> state), the token of each state, and the next shorter token that begins a token."""
+        self.goto, self.token_at, self.shorter = {}, [-1], {}
+        goto, token_at = self.goto, self.token_at
+        for label, token in self.by_bytes.items():
+            if not self._is_own(token):
+                continue
+            state = 0
+            for x in label:
+                key = state << 8 | x
+                nxt = goto.get(key)
+                if nxt is None:
+                    nxt = goto[key] = len(token_at)
+                    token_at.append(-1)
+                state = nxt
+            token_at[state] = token
+        for label, token in self.by_bytes.items():
+            if self._is_own(token):
+                state, best = 0, -1
+                for x in label[:-1]:
+                    state = goto[state << 8 | x]
+                    if token_at[state] >= 0:
+                        best = token_at[state]
+                self.shorter[token] = best
+        self.length = {t: len(v) for v, t in self.by_bytes.items()}
+
     def encode_word(self, word: bytes) -> list[int]:
-        n, whole = len(word), self.by_bytes.get(word)
-        if n == 1:
-            return [whole]
-        by_bytes, table, arc, longest = self.by_bytes, self.table, self.arc, self.longest
-        last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = by_bytes.get(word[start:end])
-                if token is None:
-                    continue
-                if start == 0:
-                    if self._is_own(token):
-                        last[end] = token
-                        break
-                    continue
-                before = last[start]
-                known = table.get((before, token))
-                if known or (known is None and arc(before, token)):
-                    last[end] = token
+        """The one path of the automaton that spells the word: longest tokens are tried first, and places with no way to the end are remembered."""
+        if not hasattr(self, "goto"):
+            self._build()
+        goto, token_at, shorter, length, table, arc = self.goto, self.token_at, self.shorter, self.length, self.table, self.arc
+        n, at, out, dead = len(word), 0, [], set()
+        while at < n:
+            state, token = 0, -1
+            for k in range(at, n):
+                state = goto.get(state << 8 | word[k])
+                if state is None:
                     break
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= len(self.labels[last[at]])
-        return out[::-1]
+                if token_at[state] >= 0:
+                    token = token_at[state]
+            while True:
+                end = at + length[token]
+                if end not in dead:
+                    if not out:
+                        break
+                    key = out[-1] << 24 | token
+                    known = table.get(key)
+                    if known or (known is None and arc(out[-1], token)):
+                        break
+                token = shorter[token]
+                while token < 0:  # no way from here: back to the token before, and on with a shorter one
+                    dead.add(at)
+                    token = out.pop()
+                    at -= length[token]
+                    token = shorter[token]
+            out.append(token)
+            at += length[token]
+        return out
 
     def _is_own(self, token: int) -> bool:
         """Whether a token's own bytes are encoded as that token, which the arc between its parts before its gadget tells."""
-        known = self.table.get((-1, token))
+        known = self.table.get(-1 - token)
         if known is None:
             known = True
             if token in self.parts:
                 x, y = self.parts[token]
                 known = self._follows(x, y, self.born[token]) and self._is_own(x) and self._is_own(y)
-            self.table[-1, token] = known
+            self.table[-1 - token] = known
         return known
 
     def decode(self, tokens) -> str:
@@ -160,13 +197,12 @@ class Automaton:
         return b"".join([labels[t] for t in tokens]).decode("utf-8", "replace")
 
 
-class Encoder(dict):
+class Words(dict):
     """Remembers the tokens of words, as bytes of 32-bit integers."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
         self.automaton = automaton
-        self.split = regex.compile(SPLIT).findall
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -174,8 +210,50 @@ class Encoder(dict):
         out = self[word] = np.array(self.automaton.encode_word(word.encode("utf-8", "surrogatepass")), np.int32).tobytes()
         return out
 
+
+class Runs(dict):
+    """Remembers the tokens of a blank and what follows it up to the next blank."""
+
+    def __init__(self, words: Words):
+        super().__init__()
+        self.words = words
+        self.split = regex.compile(SPLIT).findall
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[run] = self.whole(" " + run)
+        return out
+
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split(text)))
+
+
+class Encoder:
+    """Encodes texts whole; decodes many texts' tokens at once."""
+
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+        self.runs = Runs(Words(automaton))
+        self.loose = re.compile(r" (?:\s|\Z)").search
+        most = max(automaton.labels, default=-1) + 1
+        ordered = [automaton.labels.get(i, b"") for i in range(most)]
+        self.sizes = np.array([len(x) for x in ordered], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(ordered), np.uint8)
+
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), np.int32)
+        """No word spans the place before a blank, so a text falls apart there, if a word begins behind each blank."""
+        if self.loose(text):
+            return np.frombuffer(self.runs.whole(text), np.int32)
+        first, *rest = text.split(" ")
+        return np.frombuffer(self.runs.whole(first) + b"".join(map(self.runs.__getitem__, rest)), np.int32)
+
+    def labels(self, ids: np.ndarray) -> np.ndarray:
+        """The labels' bytes, one after another."""
+        size = self.sizes[ids]
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        return self.bytes[np.repeat(self.starts[ids], size) + within]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -188,6 +266,19 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def same_bytes(e: Encoder, ids: np.ndarray, sizes: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """For each text, whether its tokens (so many of ids) decode to it."""
+    raw, offs = buffer_of(texts)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    back = np.bincount(row, e.sizes[ids], len(sizes)).astype(np.int64) if len(ids) else np.zeros(len(sizes), np.int64)
+    decoded, good = e.labels(ids), back == np.diff(offs)
+    if good.all():
+        differ = np.concatenate([[0], np.cumsum(decoded != raw)])[offs]
+        return np.diff(differ) == 0
+    at = np.r_[0, np.cumsum(back)]
+    return np.array([bool(g) and np.array_equal(decoded[at[i] : at[i + 1]], raw[offs[i] : offs[i + 1]]) for i, g in enumerate(good)], bool)
+
+
 def tokenize(docs: DataFrame, text: str = "text", path: str | None = None, keep: list[str] | None = None, tokens: str = "tokens", count: str = "n_tokens", check: str | None = "round_trip") -> DataFrame:
     """The columns in keep (all, if None), the token ids of the text, their number, and whether decoding gives the text back.
 
@@ -208,20 +299,18 @@ def tokenize(docs: DataFrame, text: str = "text", path: str | None = None, keep:
     def run(batches):
         e = encoder(SparkFiles.get(name))
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__wa_text"))
-            missing = np.asarray(texts.is_null())
-            found, good = [], np.ones(len(texts), bool)
-            for i in range(len(texts)):
-                t = texts[i].as_py() or ""
-                ids = e.encode(t)
+            column = batch.column(batch.schema.get_field_index("__wa_text"))
+            for a, b in slices(column):
+                texts = column.slice(a, b - a)
+                missing = np.asarray(texts.is_null())
+                found = [e.encode(t) for t in pc.fill_null(texts, "").to_pylist()]
+                sizes = np.array([len(x) for x in found], np.int64)
+                values = np.concatenate(found)
+                offs = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), mask=np.r_[missing, False])
+                arrays = [pa.ListArray.from_arrays(offs, pa.array(values)), pa.array(sizes, mask=missing)]
                 if check:
-                    good[i] = e.automaton.decode(ids.tolist()) == t
-                found.append(ids)
-            sizes = np.array([len(x) for x in found], np.int64)
-            offs = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), mask=np.r_[missing, False])
-            values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))
-            arrays = [pa.ListArray.from_arrays(offs, values), pa.array(sizes, mask=missing)] + ([pa.array(good, mask=missing)] if check else [])
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(given))] + arrays, names=given + list(new))
+                    arrays.append(pa.array(same_bytes(e, values, sizes, texts), mask=missing))
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(given))] + arrays, names=given + list(new))
 
     return source.mapInArrow(run, schema)
 
