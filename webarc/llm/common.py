@@ -7,6 +7,7 @@ object is made for a word or a shingle.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -137,6 +139,14 @@ def slices(column: pa.Array, most_bytes: int = 2 << 20):
     group = np.cumsum(sizes) // most_bytes
     cuts = np.flatnonzero(np.diff(group)) + 1
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True)
+    release()
+
+
+def release() -> None:
+    """Gives memory that batches no longer use back to the machine; allocators would keep it for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def words(raw: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -28,13 +28,13 @@ SEGMENT = 256
 #: Above this rate of phrases a character, no language explains the text.
 REJECT_RATE = 0.5
 _LETTERS = 62
-_OTHER = _LETTERS + 1
 
 
 @dataclass
 class Model:
     labels: list[str]
-    classes: np.ndarray  # of each code point: 0 no letter, 1.. the letter, _OTHER a letter unseen in the sample
+    classes: np.ndarray  # of each code point: 0 no letter, 1.. the letter, width - 1 a letter unseen in the sample
+    width: int  # of a state's row: as many as there are classes
     tables: np.ndarray  # next state by language offset + state * width + class; negative: a phrase ended before
     bases: np.ndarray  # by language, the place of its table
 
@@ -120,7 +120,7 @@ def phrases(code: np.ndarray, offs: np.ndarray, model: Model) -> np.ndarray:
     state = np.ones((langs, len(row)), np.int64)
     found = np.zeros((langs, len(row)), np.int32)
     base = model.bases[:, None]
-    width = _OTHER + 1
+    width = model.width
     active = np.searchsorted(-size, -np.arange(SEGMENT), side="left")  # lanes longer than j
     for j in range(SEGMENT):
         n = int(active[j])
@@ -174,7 +174,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample_chars:
         texts.append(np.frombuffer(" ".join(joined).encode("utf-32-le"), np.uint32))
     letters, counts = np.unique(np.concatenate([lower[t] for t in texts]), return_counts=True)
     most = [int(c) for _, c in sorted(zip(-counts, letters, strict=True)) if c][:_LETTERS]
-    code_of = np.full(0x110000, _OTHER, np.uint8)
+    width = len(most) + 2
+    code_of = np.full(0x110000, width - 1, np.uint8)
     code_of[0] = 0
     code_of[most] = np.arange(1, len(most) + 1)
     classes = code_of[lower]
@@ -182,11 +183,11 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample_chars:
     for t in texts:
         code = classes[t]
         keep = (code != 0) | (np.r_[0, code[:-1]] != 0)
-        table = _restarting(suffix_automaton(code[keep].tolist(), _OTHER + 1)).ravel()
+        table = _restarting(suffix_automaton(code[keep].tolist(), width)).ravel()
         tables.append(table)
         bases.append(at)
         at += len(table)
-    return Model(labels, classes, np.concatenate(tables), np.array(bases, np.int64))
+    return Model(labels, classes, width, np.concatenate(tables), np.array(bases, np.int64))
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", columns: dict[str, str] | None = None, keep: list[str] | None = None, only_accepted: bool = False, reject_rate: float = REJECT_RATE) -> DataFrame:
@@ -213,7 +214,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", columns:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__wa_text"))
             parts = []
-            for a, b in slices(texts, 3 << 20):
+            for a, b in slices(texts, 1 << 20):
                 n = b - a
                 if m is None:
                     parts.append((np.zeros((n, 1), np.int64), np.zeros(n, np.int64)))
