@@ -133,7 +133,11 @@ class SuffixIndex:
 
 
 def _runs(match: int, prefix: int):
-    """All runs of match words that hold a matching suffix's prefix: two hashes, id, text, first word, first and end character."""
+    """All runs of match words that hold a matching suffix's prefix: part, two hashes, id, text, first word, first and end character.
+
+    The part follows from the least prefix in the run, so equal runs have the same, and neighbouring runs mostly do.
+    """
+    window = match - prefix + 1
 
     def run(batches):
         for batch in batches:
@@ -152,6 +156,10 @@ def _runs(match: int, prefix: int):
                 np.add.at(edge, at + 1, -1)
                 s = np.flatnonzero(np.cumsum(edge)[: max(0, m - match + 1)] > 0)
                 s = s[row[s] == row[s + match - 1]] if len(s) else s
+                g, _, place = grams(h, row, prefix, short=False)
+                all_grams = np.full(m, ~np.uint64(0))
+                all_grams[place] = g
+                part_of = (_sliding(all_grams, window, np.minimum)[s] >> np.uint64(20) & np.uint64(0xFFFFF)).astype(np.int32) if m >= window else np.zeros(0, np.int32)
                 p, inv = _powers(m + 1)
                 both = []
                 with np.errstate(over="ignore"):
@@ -164,10 +172,10 @@ def _runs(match: int, prefix: int):
                 doc = row[s]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(both[0].view(np.int64)), pa.array((both[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.slice(a, b - a).take(pa.array(doc)), marks.slice(a, b - a).take(pa.array(doc)),
+                        pa.array(part_of), pa.array(both[0].view(np.int64)), pa.array((both[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.slice(a, b - a).take(pa.array(doc)), marks.slice(a, b - a).take(pa.array(doc)),
                         pa.array((s - head[doc]).astype(np.int32)), pa.array((chars[start[s]] - base[doc]).astype(np.int32)), pa.array((chars[end[s + match - 1]] - base[doc]).astype(np.int32)),
                     ],
-                    names=["h", "h2", "id", "mark", "word", "first", "stop"],
+                    names=["part", "h", "h2", "id", "mark", "word", "first", "stop"],
                 )
 
     return run
@@ -180,6 +188,37 @@ def _repeated(batches):
         yield pa.RecordBatch.from_arrays([*(pa.array(t[c][at]) for c in ("id", "mark", "word", "first", "stop")), pa.array(before[at])], names=["id", "mark", "word", "first", "stop", "again"])
 
 
+def _joined(match: int):
+    """Of repeated runs sorted by document, again and word: neighbours and overlapping ones as one (word of the first and of the last run)."""
+
+    def run(batches):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            t = [np.asarray(c) if c.type != pa.bool_() else c.to_numpy(zero_copy_only=False) for c in batch.columns] if batch is not None else None
+            if t is None or not len(t[0]):
+                if batch is None and held is not None:
+                    yield _spans(held)
+                continue
+            ident, mark, again, word, first, stop = t
+            apart = np.r_[True, (ident[1:] != ident[:-1]) | (mark[1:] != mark[:-1]) | (again[1:] != again[:-1]) | (word[1:] > word[:-1] + match)]
+            heads = np.flatnonzero(apart)
+            tails = np.r_[heads[1:], len(word)] - 1
+            got = [ident[heads], mark[heads], again[heads], word[heads], word[tails], first[heads], np.maximum.reduceat(stop, heads)]
+            if held is not None:
+                if all(held[k][0] == got[k][0] for k in range(3)) and got[3][0] <= held[4][0] + match:
+                    got[3][0], got[5][0], got[6][0] = held[3][0], held[5][0], max(held[6][0], got[6][0])
+                else:
+                    yield _spans(held)
+            yield _spans([c[:-1] for c in got])
+            held = [c[-1:].copy() for c in got]
+
+    return run
+
+
+def _spans(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "mark", "again", "word", "last", "first", "stop"])
+
+
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", match: int = MATCH, prefix: int = PREFIX, batches: int = BATCHES) -> DataFrame:
     """(key, start, stop, n_words, is_removed): a row for each passage of at least match words whose every run of match words comes elsewhere too.
 
@@ -199,14 +238,18 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
         hits = index.add(batch, last=k == batches - 1)
         found = hits if found is None else found.union(hits)
     places = index.store.write(found.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("places")), "places")
+    for k in range(1, index.made + 1):  # what the levels held is in places now
+        index.store.drop(f"scan{k}")
+        index.store.drop(f"level{k}")
     small = keep_small_side(places.select("id"), places.count(), BROADCAST_IDS)
     touched = texts.join(small, "id", "left_semi").withColumn("mark", F.hash("t")).join(places.hint("merge"), "id")
-    runs = touched.select("id", "t", "mark", "places").mapInArrow(_runs(match, prefix), "h bigint, h2 int, id bigint, mark int, word int, first int, stop int")
-    again = runs.repartition("h", "h2").sortWithinPartitions("h", "h2", "id", "word", "mark").mapInArrow(_repeated, "id bigint, mark int, word int, first int, stop int, again boolean")
+    runs = touched.select("id", "t", "mark", "places").mapInArrow(_runs(match, prefix), "part int, h bigint, h2 int, id bigint, mark int, word int, first int, stop int")
+    again = runs.repartition("part").drop("part").sortWithinPartitions("h", "h2", "id", "word", "mark").mapInArrow(_repeated, "id bigint, mark int, word int, first int, stop int, again boolean")
+    near = again.select("id", "mark", "again", "word", "first", "stop").sortWithinPartitions("id", "mark", "again", "word").mapInArrow(_joined(match), "id bigint, mark int, again boolean, word int, last int, first int, stop int")
     order = Window.partitionBy("id", "mark", "again").orderBy("word")
-    apart = F.coalesce(F.col("word") > F.lag("word").over(order) + match, F.lit(True)).cast("int")
-    joined = again.withColumn("apart", apart).withColumn("passage", F.sum("apart").over(order)).groupBy("id", "mark", "again", "passage")
-    spans = joined.agg(F.min("first").alias("start"), F.max("stop").alias("stop"), (F.max("word") - F.min("word") + match).alias("n_words"))
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    joined = near.withColumn("apart", F.coalesce(F.col("word") > before + match, F.lit(True)).cast("int")).withColumn("passage", F.sum("apart").over(order)).groupBy("id", "mark", "again", "passage")
+    spans = joined.agg(F.min("first").alias("start"), F.max("stop").alias("stop"), (F.max("last") - F.min("word") + match).alias("n_words"))
     return spans.select(F.col("id").alias(key), F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"), F.col("n_words").cast("bigint").alias("n_words"), F.col("again").alias("is_removed"))
 
 
