@@ -92,6 +92,15 @@ def test_unknown_and_missing_type():
     assert scan(record_bytes("WARC/1.0", [("WARC-Record-ID", "x")], b"b"))[0].record_type is None
 
 
+def test_short_header_blocks():
+    one = b"WARC/1.0\r\nContent-Length: 7\r\n\r\na\r\n\r\nbc\r\n\r\n"
+    none = b"WARC/1.0\r\n\r\n\r\n\r\n"
+    assert [(len(r.headers), r.block) for r in scan(one + none + one)] == [(1, b"a\r\n\r\nbc"), (0, b""), (1, b"a\r\n\r\nbc")]
+    body = b"HTTP/1.0 204 No\r\n\r\nx\r\n\r\ny"
+    r = scan(record_bytes("WARC/1.1", [("WARC-Type", "response"), ("Content-Type", "application/http")], body))[0]
+    assert (r.http_status_line, r.http_headers, r.payload) == ("HTTP/1.0 204 No", [], b"x\r\n\r\ny")
+
+
 def test_quirks_and_errors():
     loose = b"WARC/0.18\nWARC-Type: response\nContent-Length: 3\n\nabc\n\n"
     assert scan(loose, quirks=True)[0].payload == b"abc"

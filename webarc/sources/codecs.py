@@ -307,6 +307,25 @@ class Buffered:
         self.off = i + 1
         return line
 
+    def starts(self, mark: bytes) -> bool:
+        while len(self.buf) - self.off < len(mark) and self._fill():
+            pass
+        return self.buf.startswith(mark, self.off)
+
+    def until(self, mark: bytes, most: int) -> bytes | None:
+        """Bytes up to and with a mark; None, and nothing read, if it doesn't come within so many bytes."""
+        start = self.off
+        while True:
+            i = self.buf.find(mark, start, self.off + most)
+            if i >= 0:
+                out = bytes(self.buf[self.off : i + len(mark)])
+                self.off = i + len(mark)
+                return out
+            have = len(self.buf) - self.off
+            if have >= most or not self._fill():
+                return None
+            start = self.off + max(0, have - len(mark) + 1)
+
     def read(self, n: int) -> bytes:
         while len(self.buf) - self.off < n and self._fill():
             pass

@@ -37,8 +37,7 @@ class RecordError(ValueError):
 def header_pairs(lines: list[bytes], encoding: str) -> Pairs:
     """Name and value of each line; a line that starts with white space goes on with the one before; others without a colon count for nothing."""
     out: Pairs = []
-    for line in lines:
-        text = line.decode(encoding, "replace")
+    for text in b"\r\n".join(lines).decode(encoding, "replace").split("\r\n") if lines else ():
         if text[:1] in (" ", "\t"):
             if out and (more := text.strip()):
                 out[-1] = (out[-1][0], f"{out[-1][1]} {more}".strip())
@@ -56,6 +55,11 @@ def first(pairs: Pairs, name: str) -> str | None:
 
 def read_block(stream: Buffered, quirks: bool = False, most: int = MOST_HEADER) -> tuple[list[bytes], bytes]:
     """Lines up to an empty one, without their ends, and all the bytes. Lines end in CR LF; in quirks mode a bare LF does too."""
+    if not quirks:
+        if stream.starts(b"\r\n"):
+            return [], stream.read(2)
+        if block := stream.until(b"\r\n\r\n", most):
+            return block[:-4].split(b"\r\n"), block
     lines, raw, size = [], [], 0
     part = b""
     while line := stream.readline():
