@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +32,7 @@ FOLDER = os.environ.get("WEBARC_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
 #: Splits a text into words, each encoded on its own; every character belongs to one.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Encodings of words, of runs behind a blank, and arcs that a worker remembers; each memory is emptied when full. It changes no result.
+#: Arcs that encode_word remembers, at most twice so many; the memory is emptied when full. It changes no result.
 REMEMBERED = 120_000
 
 
@@ -197,70 +196,193 @@ class Automaton:
         return b"".join([labels[t] for t in tokens]).decode("utf-8", "replace")
 
 
-class Words(dict):
-    """Remembers the tokens of words, as bytes of 32-bit integers."""
-
-    def __init__(self, automaton: Automaton):
-        super().__init__()
-        self.automaton = automaton
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[word] = np.array(self.automaton.encode_word(word.encode("utf-8", "surrogatepass")), np.int32).tobytes()
+class Table:
+    """A hash table from non-negative 64-bit keys to 32-bit values, looked up for many keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(3 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.full(1 << self.bits, -1, np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at[left]] < 0
+            slots, first = np.unique(at[left[free]], return_index=True)
+            placed = left[free][first]
+            self.keys[slots], self.values[slots] = keys[placed], values[placed]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values; -1 for keys that aren't there."""
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            found = self.keys[at[left]]
+            same = found == keys[left]
+            out[left[same]] = self.values[at[left[same]]]
+            left = left[~same & (found >= 0)]
         return out
 
 
-class Runs(dict):
-    """Remembers the tokens of a blank and what follows it up to the next blank."""
-
-    def __init__(self, words: Words):
-        super().__init__()
-        self.words = words
-        self.split = regex.compile(SPLIT).findall
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[run] = self.whole(" " + run)
-        return out
-
-    def whole(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split(text)))
+def _rows(values: np.ndarray, offs: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen rows of ragged data, one behind the other, and their sizes."""
+    size = (offs[1:] - offs[:-1])[take]
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return values[np.repeat(offs[:-1][take], size) + within], size
 
 
 class Encoder:
-    """Encodes texts whole; decodes many texts' tokens at once."""
+    """The automaton as arrays: small to ship, and run over all words of many texts at once."""
 
     def __init__(self, automaton: Automaton):
-        self.automaton = automaton
-        self.runs = Runs(Words(automaton))
-        self.loose = re.compile(r" (?:\s|\Z)").search
+        automaton._build()
         most = max(automaton.labels, default=-1) + 1
         ordered = [automaton.labels.get(i, b"") for i in range(most)]
         self.sizes = np.array([len(x) for x in ordered], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(ordered), np.uint8)
+        self.goto = Table(np.fromiter(automaton.goto, np.int64, len(automaton.goto)), np.fromiter(automaton.goto.values(), np.int32, len(automaton.goto)))
+        self.token_at = np.array(automaton.token_at, np.int32)
+        self.shorter, self.born, self.left, self.right = (np.full(most, x, np.int64) for x in (-1, 0, -1, -1))
+        for t, u in automaton.shorter.items():
+            self.shorter[t] = u
+        for c, n in automaton.born.items():
+            self.born[c] = n
+            self.left[c], self.right[c] = automaton.parts[c]
+        pairs = automaton.cut
+        self.cut = Table(np.array([a << 24 | b for a, b in pairs], np.int64), np.array(list(pairs.values()), np.int32))
+
+    def follows(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Automaton.arc for many pairs."""
+        x, y, out = x.copy(), y.copy(), np.ones(len(x), bool)
+        live, limit = np.arange(len(x)), np.full(len(x), 1 << 40)
+        while len(live):
+            a, b = x[live], y[live]
+            cut = self.cut.get(a << 24 | b)
+            gone = (cut >= 0) & (cut < limit[live])
+            ba, bb = self.born[a], self.born[b]
+            later, both = bb > ba, bb >= ba
+            gone |= later & (a == self.left[b]) & (a == self.right[b])
+            out[live[gone]] = False
+            go = ~gone & ((ba > 0) | (bb > 0))
+            limit[live] = np.maximum(ba, bb)
+            y[live] = np.where(both & go, self.left[b], b)
+            x[live] = np.where(~later & go, self.right[a], a)
+            live = live[go]
+        return out
+
+    def encode_words(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words, one behind the other, and where each word's begin; no word is empty. Automaton.encode_word for many words."""
+        n = len(offs) - 1
+        stop = np.repeat(offs[1:], np.diff(offs))
+        longest, state, live = np.full(len(raw), -1, np.int64), np.zeros(len(raw), np.int64), np.arange(len(raw))
+        step = 0
+        while len(live):
+            to = self.goto.get(state[live] << 8 | raw[live + step])
+            live, to = live[to >= 0], to[to >= 0]
+            state[live] = to
+            token = self.token_at[to]
+            longest[live[token >= 0]] = token[token >= 0]
+            step += 1
+            live = live[live + step < stop[live]]
+        # A word's stack is where its tokens begin: the token that begins at a byte is kept there.
+        taken, before = np.full(len(raw), -1, np.int64), np.full(len(raw), -1, np.int64)
+        dead = np.zeros(len(raw) + 1, bool)
+        word, at = np.arange(n), offs[:-1].copy()
+        token, end = longest[at] if n else at, offs[1:]
+        while len(word):
+            none = token < 0
+            if none.any():  # no way from here: back to the token before, and on with a shorter one
+                dead[at[none]] = True
+                at[none] = before[at[none]]
+                token[none] = self.shorter[taken[at[none]]]
+                if (token < 0).any():
+                    continue
+            last = before[at]
+            behind = at + self.sizes[token]
+            ok = ~dead[behind] | (behind == end[word])
+            ask = np.flatnonzero(ok & (last >= 0))
+            if len(ask):
+                ok[ask] = self.follows(taken[last[ask]], token[ask])
+            taken[at[ok]] = token[ok]
+            token[~ok] = self.shorter[token[~ok]]
+            moved = np.flatnonzero(ok)
+            goes = behind[moved] < end[word[moved]]
+            on = moved[goes]
+            before[behind[on]] = at[on]
+            at[on], token[on] = behind[on], longest[behind[on]]
+            keep = np.ones(len(word), bool)
+            keep[moved[~goes]] = False
+            before_end = moved[~goes]
+            taken[at[before_end]] = token[before_end]
+            word, at, token = word[keep], at[keep], token[keep]
+        begins, place = np.zeros(len(raw) + 1, bool), offs[:-1].copy()
+        left = np.arange(n)
+        while len(left):
+            begins[place[left]] = True
+            place[left] += self.sizes[taken[place[left]]]
+            left = left[place[left] < offs[1:][left]]
+        found = np.flatnonzero(begins)
+        return taken[found].astype(np.int32), np.searchsorted(found, offs)
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts, one behind the other, and how many each has. A text that comes up again and again costs its runs once.
+
+        No word spans the place before a blank, so a text falls apart there into runs, if a word begins behind each blank.
+        """
+        split, loose = regex.compile(SPLIT).findall, re.compile(r" (?:\s|\Z)").search
+        runs: dict[str, int] = {}
+        words: list[str] = []
+        count: list[int] = []  # of words in each piece; a piece is a first run or a whole text, or one of runs
+        pieces, of_text = [], []
+        for t in texts:
+            first, *rest = [t] if loose(t) else t.split(" ")
+            found = split(first)
+            words += found
+            count.append(len(found))
+            pieces.append([runs.setdefault(r, len(runs)) for r in rest])
+        if runs:
+            behind = split(" " + " ".join(runs))
+            words += behind
+        listed = pa.array(words, pa.large_string()).dictionary_encode()
+        raw, offs = buffer_of(listed.dictionary)
+        tokens, begins = self.encode_words(raw, offs)
+        which = np.asarray(listed.indices, np.int64)
+        if runs:
+            heads = np.flatnonzero(np.fromiter((w[0] == " " for w in behind), np.bool_, len(behind))) + sum(count)
+            bounds = np.r_[np.cumsum([0, *count]), heads[1:], len(words)]
+        else:
+            bounds = np.cumsum([0, *count])
+        of_text = np.concatenate([np.r_[i, np.array(p, np.int64) + len(texts)] for i, p in enumerate(pieces)]) if texts else np.zeros(0, np.int64)
+        order, per_piece = _rows(which, bounds, of_text.astype(np.int64))
+        out, per_word = _rows(tokens, begins, order)
+        text_of = np.repeat(np.arange(len(texts)), [1 + len(p) for p in pieces])
+        sizes = np.bincount(np.repeat(text_of, per_piece), per_word, len(texts)).astype(np.int64) if len(order) else np.zeros(len(texts), np.int64)
+        return out, sizes
 
     def encode(self, text: str) -> np.ndarray:
-        """No word spans the place before a blank, so a text falls apart there, if a word begins behind each blank."""
-        if self.loose(text):
-            return np.frombuffer(self.runs.whole(text), np.int32)
-        first, *rest = text.split(" ")
-        return np.frombuffer(self.runs.whole(first) + b"".join(map(self.runs.__getitem__, rest)), np.int32)
+        return self.encode_many([text])[0]
 
     def labels(self, ids: np.ndarray) -> np.ndarray:
         """The labels' bytes, one after another."""
-        size = self.sizes[ids]
-        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        return self.bytes[np.repeat(self.starts[ids], size) + within]
+        return _rows(self.bytes, np.r_[self.starts, len(self.bytes)], ids)[0]
+
+    def decode(self, ids) -> str:
+        return self.labels(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace")
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One for each file and process."""
+    """One for each file, on the driver; executors get it by a broadcast of about 10 MB, whatever the corpus."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(Automaton.from_file(path))
     return _ENCODERS[path]
@@ -284,28 +406,23 @@ def tokenize(docs: DataFrame, text: str = "text", path: str | None = None, keep:
 
     A NULL text has NULL in all three; an empty one has no tokens. Texts are encoded whole, and special tokens' names in
     them are ordinary text. A result replaces an input column of the same name. Rows stay as often as they come. The vocabulary
-    file is read on the driver and shipped to the executors.
+    file is read on the driver, and the compiled automaton is shipped to the executors.
     """
     spark = docs.sparkSession
-    path = path or os.path.join(FOLDER, VOCABULARY)
-    if os.path.basename(path) not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
-        spark.sparkContext.addFile(path)
-    name = os.path.basename(path)
+    shipped = spark.sparkContext.broadcast(encoder(path or os.path.join(FOLDER, VOCABULARY)))
     new = {tokens: "array<int>", count: "bigint"} | ({check: "boolean"} if check else {})
     given = [c for c in (docs.columns if keep is None else keep) if c not in new]
     source = docs.select(*[F.col(f"`{c}`") for c in given], F.col(f"`{text}`").alias("__wa_text"))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in given] + [f"`{k}` {v}" for k, v in new.items()])
 
     def run(batches):
-        e = encoder(SparkFiles.get(name))
+        e = shipped.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("__wa_text"))
-            for a, b in slices(column):
+            for a, b in slices(column, 1 << 20):
                 texts = column.slice(a, b - a)
                 missing = np.asarray(texts.is_null())
-                found = [e.encode(t) for t in pc.fill_null(texts, "").to_pylist()]
-                sizes = np.array([len(x) for x in found], np.int64)
-                values = np.concatenate(found)
+                values, sizes = e.encode_many(pc.fill_null(texts, "").to_pylist())
                 offs = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), mask=np.r_[missing, False])
                 arrays = [pa.ListArray.from_arrays(offs, pa.array(values)), pa.array(sizes, mask=missing)]
                 if check:
@@ -318,15 +435,12 @@ def tokenize(docs: DataFrame, text: str = "text", path: str | None = None, keep:
 def detokenize(rows: DataFrame, tokens: str = "tokens", path: str | None = None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The columns in keep (all, if None) and the text that the token ids stand for; NULL ids give NULL, an unknown id an error."""
     spark = rows.sparkSession
-    path = path or os.path.join(FOLDER, VOCABULARY)
-    if os.path.basename(path) not in {os.path.basename(f) for f in spark.sparkContext.listFiles}:
-        spark.sparkContext.addFile(path)
-    name = os.path.basename(path)
+    shipped = spark.sparkContext.broadcast(encoder(path or os.path.join(FOLDER, VOCABULARY)))
     given = [c for c in (rows.columns if keep is None else keep) if c != text]
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in given] + [f"`{text}` string"])
 
     def run(batches):
-        a = encoder(SparkFiles.get(name)).automaton
+        a = shipped.value
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("__wa_ids"))
             out = pa.array([None if x is None else a.decode(x) for x in ids.to_pylist()], pa.string())
