@@ -142,6 +142,30 @@ class Node:
             return
         self.replace_children(Node(TEXT, "#text", value))
 
+    def substring_data(self, start: int, n: int) -> str:
+        """Of a text or comment, as are the following."""
+        return self._data(start)[start : start + n]
+
+    def append_data(self, data: str) -> None:
+        self.value = self._data(0) + data
+
+    def insert_data(self, start: int, data: str) -> None:
+        self.replace_data(start, 0, data)
+
+    def delete_data(self, start: int, n: int) -> None:
+        self.replace_data(start, n, "")
+
+    def replace_data(self, start: int, n: int, data: str) -> None:
+        old = self._data(start)
+        self.value = old[:start] + data + old[start + n :]
+
+    def _data(self, start: int) -> str:
+        if self.type not in (TEXT, CDATA, COMMENT, PI):
+            raise ValueError("not character data")
+        if not 0 <= start <= len(self.value or ""):
+            raise IndexError(start)
+        return self.value or ""
+
     @property
     def html(self) -> str:
         return serialize(self)
