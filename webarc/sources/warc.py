@@ -205,21 +205,16 @@ class WarcReader(DataSourceReader):
 
 
 class WarcStreamReader(DataSourceStreamReader):
-    """New files of a folder or pattern, in the order of their names; a batch takes at most maxFilesPerTrigger of them."""
+    """New files of a folder or pattern. A file counts as new if its path sorts behind all that were read, so names must rise as files come (by date, say)."""
 
     def __init__(self, schema: StructType, options: dict):
         self.reader = WarcReader(schema, options)
-        self.most = int({k.lower(): v for k, v in options.items()}.get("maxfilespertrigger", 1000))
-        self.last = ""
 
     def initialOffset(self):
         return {"upto": ""}
 
     def latestOffset(self):
-        names = sorted(p for p, _ in list_files(self.reader.options["path"]))
-        new = [p for p in names if p > self.last][: self.most]
-        self.last = new[-1] if new else self.last
-        return {"upto": self.last}
+        return {"upto": max((p for p, _ in list_files(self.reader.options["path"])), default="")}
 
     def partitions(self, start, end):
         return [s for s in self.reader.partitions() if s.path and start["upto"] < s.path <= end["upto"]]
