@@ -131,6 +131,8 @@ def test_digests():
     import base64
     import hashlib
 
+    assert digest(b"ABC") == "sha1:" + base64.b32encode(hashlib.sha1(b"ABC").digest()).decode()
+
     for a in ("md5", "sha1", "sha256", "sha512"):
         raw = hashlib.new(a, b"ABC").digest()
         assert check_digest(b"ABC", f"{a}:{base64.b32encode(raw).decode()}") == "ok"
