@@ -29,7 +29,6 @@ PRIOR = 0.25
 ITERATIONS = 60
 
 _DIGITS = re.compile(r"[+(]{0,2}\d(?:[ .\-()/]{0,2}\d){6,}")
-_ADDRESS = re.compile(r"[\w.+\-%]+@[\w\-]+(?:\.[\w\-]+)+")
 _LOCAL = re.compile(r"[\w.+\-%]+\Z")
 _DOMAIN = re.compile(r"[\w\-]+(?:\.[\w\-]+)*")
 _ASSIGNED = re.compile(r"""[=:][ \t]{0,2}["']?([A-Za-z0-9_\-+/.~]{12,})""")
