@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, slices
+from .common import buffer_of, slices, small_batches
 
 #: Folder of the public tokenizer files and the one that the queries use; both can be given.
 FOLDER = os.environ.get("WEBARC_TOKENIZERS", "/opt/tokenizers")
@@ -408,7 +408,7 @@ def tokenize(docs: DataFrame, text: str = "text", path: str | None = None, keep:
     them are ordinary text. A result replaces an input column of the same name. Rows stay as often as they come. The vocabulary
     file is read on the driver, and the compiled automaton is shipped to the executors.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     shipped = spark.sparkContext.broadcast(encoder(path or os.path.join(FOLDER, VOCABULARY)))
     new = {tokens: "array<int>", count: "bigint"} | ({check: "boolean"} if check else {})
     given = [c for c in (docs.columns if keep is None else keep) if c not in new]

@@ -40,11 +40,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of 8 MB instead of Spark's 64, if the session hasn't said otherwise: each is held several times, in the JVM and in the worker, and texts can be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, "8m")
+    return spark
+
+
 class Stored:
     """Tables written below the shared folder, so that a lost executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/webarc-{what}-{uuid.uuid4().hex}"
+        self.spark, self.root = small_batches(spark), f"{shared_dir(spark)}/webarc-{what}-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

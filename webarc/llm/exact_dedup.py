@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 FIRST_BYTES = 16
 
 
@@ -50,6 +52,7 @@ def mark_exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_i
     each other. keeper and flag replace input columns of the same name; None leaves them out.
     With only_kept, the documents that go are left out.
     """
+    small_batches(docs.sparkSession)
     new = {keeper: docs.schema[key].dataType.simpleString(), flag: "boolean"}
     new.pop(None, None)
     given = [c for c in (docs.columns if keep is None else keep) if c not in new]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, slices
+from .common import buffer_of, slices, small_batches
 
 #: Bounds of the labelled sample that the automata are built from; all else covers every row.
 SAMPLE_CHARS = 40_000
@@ -207,7 +207,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", columns:
     given = [c for c in (docs.columns if keep is None else keep) if c not in {names[k] for k in wanted}]
     source = docs.select(*[F.col(f"`{c}`") for c in given], F.col(f"`{text}`").alias("__wa_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__wa_text"] + [f"`{names[k]}` {kinds[k]}" for k in wanted])
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches):
         m = shipped.value

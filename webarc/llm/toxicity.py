@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import VISIBLE_BYTE, WORD_BYTE, buffer_of, slices, words
+from .common import VISIBLE_BYTE, WORD_BYTE, buffer_of, slices, small_batches, words
 
 #: Labelled rows that the model is fitted on, at most; they are picked by a hash. All documents are scored.
 SAMPLE_ROWS = 20_000
@@ -285,7 +285,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
     given = [c for c in (docs.columns if keep is None else keep) if c not in ("toxicity", "is_toxic")]
     source = docs.select(*[F.col(f"`{c}`") for c in given], F.col(f"`{text}`").alias("__wa_text"))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in given] + ["toxicity double", "is_toxic boolean"])
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches):
         m = shipped.value
