@@ -77,6 +77,25 @@ def test_exact_copies(spark, clashing):
     assert exact_dedup.mark_exact_duplicates(table(spark, [])).collect() == []
 
 
+def test_exact_copies_over_many_batches(spark, words):
+    """One group of copies over far more Arrow batches than are held at a time, with others of its length and first bytes between."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    head = "one beginning for all "
+    texts = [head + "abcde"[i * i % 5] for i in range(900)] + [""] * 300 + [words(30, seed=i % 40) for i in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    random.Random(7).shuffle(rows)
+    lowest = {}
+    for i, t in sorted(rows):
+        lowest.setdefault(t, i)
+    spark.conf.set(name, 7)
+    try:
+        got = exact_dedup.mark_exact_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), keep=["doc_id"]).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted((r.doc_id, r.keep_id, r.is_duplicate) for r in got) == [(i, lowest[t], i != lowest[t]) for i, t in enumerate(texts)]
+
+
 def test_radix_tree_needs_no_digest():
     t = exact_dedup.RadixTree(0)
     rng = random.Random(0)

@@ -65,7 +65,7 @@ def mark_exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_i
 
     def run(batches):
         tree, now = None, None
-        for batch in batches:
+        for number, batch in enumerate(batches):
             n = batch.num_rows
             if not n:
                 continue
@@ -87,11 +87,11 @@ def mark_exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_i
                     digit = (size[i].as_py(), head[i].as_py())
                     if digit != now:
                         tree, now, where = RadixTree(FIRST_BYTES), digit, {}
-                # The tree keeps a batch-independent id; rows of this batch are found by their place.
-                dup, first = tree.place(datas[i].as_py(), (ids[i].as_py(), id(batch), i))
+                # The tree keeps a batch-independent id; rows of this batch are found by their place. id(batch) wouldn't tell batches apart: it is used again once a batch is freed.
+                dup, first = tree.place(datas[i].as_py(), (ids[i].as_py(), number, i))
                 if dup:
                     goes[i] = True
-                    if first[1] == id(batch):
+                    if first[1] == number:
                         stays[i] = first[2]
                     else:
                         outside[i] = first[0]
