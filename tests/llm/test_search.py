@@ -201,6 +201,16 @@ def test_repeated_passages(spark, words, batches):
     assert got == passages(rows, suffix_dedup.MATCH)
 
 
+@pytest.mark.parametrize("batches", [1, 4])
+def test_passages_of_two_versions_of_a_page(spark, words, batches):
+    """Rows of one id with different texts, whose passage is at the same place in both and nowhere else."""
+    rows = [(i, words(70, seed=500 + i) + " " + words(20, seed=600 + i + 50 * k)) for i in range(20) for k in range(2)]
+    rows += [(30, words(80, seed=700))] * 2 + [(40 + i, words(90, seed=800 + i)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {tuple(r) for r in suffix_dedup.repeated_passages(docs, batches=batches).collect()}
+    assert got == passages(rows, suffix_dedup.MATCH) and {r[0] for r in got} == set(range(20))
+
+
 def test_levels_grow_geometrically(spark, words):
     index = suffix_dedup.SuffixIndex(spark, 20, 8)
     sizes = []

@@ -69,7 +69,8 @@ def _array_of(match: int, prefix: int):
                 _, _, h, row, _, _ = _words(batch.column(1).slice(a, b - a))
                 key, at = sampled(h, row, match, prefix)
                 first = np.searchsorted(row, row[at])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(row[at])), pa.array((at - first).astype(np.int32))], names=["key", "id", "pos"])
+                of = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).slice(a, b - a).take(of), batch.column(2).slice(a, b - a).take(of), pa.array((at - first).astype(np.int32))], names=["key", "id", "mark", "pos"])
 
     return run
 
@@ -98,16 +99,16 @@ def _neighbours(batches, same: list[str]):
 
 
 def _merge_scan(batches):
-    """Of entries sorted by (key, age, id, pos): those that begin as another does (hit), and the first of each key that no level holds."""
+    """Of entries sorted by (key, age, id, pos, mark): those that begin as another does (hit), and the first of each key that no level holds."""
     for t, before, behind in _neighbours(batches, ["key"]):
         hit, fresh = before | behind, ~before & (t["age"] == 1)
         for kind, rows in ((1, hit), (0, fresh)):
             at = np.flatnonzero(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *(pa.array(t[c][at]) for c in ("key", "id", "pos"))], names=["kind", "key", "id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *(pa.array(t[c][at]) for c in ("key", "id", "mark", "pos"))], names=["kind", "key", "id", "mark", "pos"])
 
 
 class SuffixIndex:
-    """The levels: (size in batches, table of (key, id, pos) with each key once, in one level only)."""
+    """The levels: (size in batches, table of (key, id, mark, pos) with each key once, in one level only). The mark tells texts of one id apart."""
 
     def __init__(self, spark: SparkSession, match: int = MATCH, prefix: int = PREFIX):
         self.spark, self.match, self.prefix = spark, match, prefix
@@ -115,16 +116,17 @@ class SuffixIndex:
 
     def add(self, texts: DataFrame, last: bool = False) -> DataFrame:
         """Takes a batch (id, t) in; (id, pos) of suffixes, of the batch or of older ones, that begin alike. With last, the levels aren't kept up."""
-        new = texts.mapInArrow(_array_of(self.match, self.prefix), "key bigint, id bigint, pos int").withColumn("age", F.lit(1))
+        marked = texts.select("id", "t", F.hash("t").alias("mark"))
+        new = marked.mapInArrow(_array_of(self.match, self.prefix), "key bigint, id bigint, mark int, pos int").withColumn("age", F.lit(1))
         for _, level in self.levels:
-            new = new.union(level.select("key", "id", "pos", F.lit(0).alias("age")))
-        scanned = new.select("key", "age", "id", "pos").repartition("key").sortWithinPartitions("key", "age", "id", "pos").mapInArrow(_merge_scan, "kind int, key bigint, id bigint, pos int")
+            new = new.union(level.select("key", "id", "mark", "pos", F.lit(0).alias("age")))
+        scanned = new.select("key", "age", "id", "pos", "mark").repartition("key").sortWithinPartitions("key", "age", "id", "pos", "mark").mapInArrow(_merge_scan, "kind int, key bigint, id bigint, mark int, pos int")
         self.made += 1
         scanned = self.store.write(scanned, f"scan{self.made}")
         hits = scanned.filter("kind = 1").select("id", "pos")
         if last:
             return hits
-        self.levels.append((1, scanned.filter("kind = 0").select("key", "id", "pos")))
+        self.levels.append((1, scanned.filter("kind = 0").select("key", "id", "mark", "pos")))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (m, b) = self.levels.pop(), self.levels.pop()
             self.made += 1
