@@ -388,6 +388,33 @@ def test_luhn_and_candidates():
     assert len(pii.candidates("1" * 200000)) <= 1
 
 
+NUMBERS = {
+    "06 12 34 56 78": [("06 12 34 56 78", "phone")], "+33 1 23 45 67 89": [("+33 1 23 45 67 89", "phone")], "030 1234 56789": [("030 1234 56789", "phone")], "+49 (0)30 123456": [("+49 (0)30 123456", "phone")],
+    "4111 1111 1111 1111 12/27": [("4111 1111 1111 1111", "card")], "4111 1111 1111 1111 123": [("4111 1111 1111 1111", "card")], "4111-1111-1111-1111-123": [("4111-1111-1111-1111", "card")],
+    "+1 (843) 555-7672 170.106.47.218": [("+1 (843) 555-7672", "phone"), ("170.106.47.218", "ip")], "06 12 34 56 78 06 98 76 54 32": [("06 12 34 56 78", "phone"), ("06 98 76 54 32", "phone")],
+    "4111 1111 1111 1111 5500 0000 0000 0004": [("4111 1111 1111 1111", "card"), ("5500 0000 0000 0004", "card")], "123-45-6789 123-45-6780": [("123-45-6789", "national_id"), ("123-45-6780", "national_id")],
+    "12 34 56 78 90": [("12 34 56 78 90", "phone")], "1999-2001 2004-2008": [("1999-2001", "phone"), ("2004-2008", "phone")], "1 2 3 4 5 6 7 8 9": [],
+}
+
+
+def test_numbers_in_a_run():
+    for s, want in NUMBERS.items():
+        text = f"see {s}, then"
+        assert [(text[a:b], k) for a, b, k in pii.candidates(text)] == want, s
+    assert len(pii.candidates("1 " * 20000)) == 0
+
+
+def test_numbers_in_a_run_are_masked(spark, mixed_spans):
+    masked = [f"{'card' if s[0] == '4' else 'call'} {s}" for s in NUMBERS if s[0] in "+04"]
+    docs = table(spark, [(i, t, "en", "s") for i, t, _ in mixed_spans] + [(30000 + i, f"some words {s} and more", "en", "s") for i, s in enumerate(masked)])
+    got = {r.doc_id: r.text for r in pii.redact(docs).filter("doc_id >= 30000").collect()}
+    for i, s in enumerate(masked):
+        want = f"some words {s} and more"
+        for span, kind in NUMBERS[s[5:]]:
+            want = want.replace(span, f"<{kind.upper()}>", 1)
+        assert got[30000 + i] == want, s
+
+
 # ---- toxicity -----------------------------------------------------------------------------------
 
 

@@ -29,6 +29,10 @@ PRIOR = 0.25
 ITERATIONS = 60
 
 _DIGITS = re.compile(r"[+(]{0,2}\d(?:[ .\-()/]{0,2}\d){6,}")
+#: Phone numbers: fixed layouts, a dialling code or trunk zero with any groups, and groups that may be one.
+_LAYOUT = re.compile(r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-/])\d{3,4}[ .\-]?\d{3,4}|\+\d{8,14}|(?:0|\+\d\d[ .\-]?(?:\(0\)[ .\-]?)?)[1-9](?:[ .\-]\d\d){4}")
+_DIALLED = re.compile(r"\+(?!1\D)\d{1,3}(?:[ .\-/]?\(\d{1,5}\)[ .\-/]?|[ .\-/])\d{1,8}(?:[ .\-/]\d{1,8}){0,5}|(?:\(0\d{1,4}\)[ \-/]?|0\d{2,4}[ \-/])\d{3,8}(?:[ \-]\d{2,5}){0,2}")
+_GROUPS = re.compile(r"\+?\(?\d{1,5}\)?(?:[ .\-/]?\(?\d{2,5}\)?)+")
 _LOCAL = re.compile(r"[\w.+\-%]+\Z")
 _DOMAIN = re.compile(r"[\w\-]+(?:\.[\w\-]+)*")
 _ASSIGNED = re.compile(r"""[=:][ \t]{0,2}["']?([A-Za-z0-9_\-+/.~]{12,})""")
@@ -37,9 +41,9 @@ _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b
 
 _STRICT = {
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
-    "phone": re.compile(r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-/])\d{3,4}[ .\-]?\d{3,4}|\+\d{8,14}"),
+    "phone": re.compile(f"{_LAYOUT.pattern}|{_DIALLED.pattern}"),
     "ip": re.compile(r"(?:\d{1,3}\.){3}\d{1,3}"),
-    "card": re.compile(r"\d{4}([ \-]?)\d{4}\1\d{4}\1\d{4}|3\d{3}([ \-]?)\d{6}\2\d{5}|\d{13,19}"),
+    "card": re.compile(r"\d{4}([ \-]?)\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|3\d{3}([ \-]?)\d{6}\2\d{5}|\d{13,19}"),
     "secret": re.compile(r"[A-Za-z0-9_\-+/.~]{16,}"),
     "iban": re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}"),
     "national_id": re.compile(r"\d{3}-\d{2}-\d{4}"),
@@ -72,11 +76,58 @@ def _mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
-def _numbers(run: str) -> list[tuple[int, int]]:
-    """A run of digits and marks as one number, if it is shaped like one, else what blanks part in it."""
-    if " " not in run or _STRICT["phone"].fullmatch(run) or _STRICT["card"].fullmatch(run):
-        return [(0, len(run))]
-    return [m.span() for m in re.finditer(r"[^ ]+", run)]
+def _shape(s: str, digits: str, open_start: bool, open_stop: bool) -> tuple[int, str] | None:
+    """(weight a digit, kind) of groups of digits that make a number: 6 for a fixed layout, 4 for a dialling code with any groups, 2 for groups that may be one.
+
+    open_start and open_stop tell whether a blank, slash or bracket parts them from what stands before and behind.
+    """
+    n = len(digits)
+    if 13 <= n and (n in (15, 16) or luhn(digits)) and _STRICT["card"].fullmatch(s) and ((open_start and open_stop) or luhn(digits)):
+        return 6, "card"
+    if not (open_start and open_stop):
+        return None
+    if _STRICT["ip"].fullmatch(s):
+        return 6, "ip"
+    if _STRICT["national_id"].fullmatch(s):
+        return 6, "national_id"
+    if 7 <= n <= 15 and s[0] in "+(0" and (fixed := _LAYOUT.fullmatch(s) or _DIALLED.fullmatch(s)):
+        return 6 if fixed.re is _LAYOUT else 4, "phone"
+    if " " not in s and (kind := _number_kind(s)):
+        return 2, kind
+    return (2, "phone") if 7 <= n <= 15 and (_GROUPS.fullmatch(s) or _LAYOUT.fullmatch(s)) else None
+
+
+def _numbers(run: str) -> list[tuple[int, int, str]]:
+    """(start, stop, kind) of the numbers in a run of digits and marks: the parting of its groups into numbers that explains most digits, by fewest numbers, the leftmost longest first."""
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    n = len(groups)
+    if n == 1:
+        kind = _number_kind(run)
+        return [(0, len(run), kind)] if kind else []
+    marks = [run[x[1] : y[0]] for x, y in zip(groups, groups[1:], strict=False)]
+    # A dot or hyphen ties groups together, as in versions and ISBNs; only a whole card's checksum parts them at a hyphen.
+    apart = [2, *(2 if any(c in " /()" for c in m) else 0 if "." in m else 1 for m in marks), 2]
+    starts = [0, *(y[0] - (run[y[0] - 1] == "(") for y in groups[1:])]
+    best: list[tuple[int, int, str]] = [(0, n, "")] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        best[i] = (best[i + 1][0] - (30 if run[starts[i]] == "+" else 0), i + 1, "")  # a dialling code isn't left behind
+        j, digits = i, ""
+        while j < n and len(digits) <= 19:
+            digits += run[slice(*groups[j])]
+            j += 1
+            if j - i > 9 and " " in run[starts[i] : groups[j - 1][0]]:  # no shape has so many groups
+                break
+            if len(digits) >= 4 and apart[i] and apart[j] and (found := _shape(run[starts[i] : groups[j - 1][1]], digits, apart[i] == 2, apart[j] == 2)):
+                value = best[j][0] + found[0] * len(digits) - 1
+                if value >= best[i][0]:
+                    best[i] = (value, j, found[1])
+    out, i = [], 0
+    while i < n:
+        _, j, kind = best[i]
+        if kind:
+            out.append((starts[i], groups[j - 1][1], kind))
+        i = j
+    return out
 
 
 def _number_kind(s: str) -> str | None:
@@ -101,9 +152,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             out.append((head.start(), tail.end(), "email"))
         at = text.find("@", at + 1)
     for m in _DIGITS.finditer(text):
-        for start, stop in _numbers(m.group()):
-            if kind := _number_kind(m.group()[start:stop]):
-                out.append((m.start() + start, m.start() + stop, kind))
+        out += [(m.start() + start, m.start() + stop, kind) for start, stop, kind in _numbers(m.group())]
     for m in _ASSIGNED.finditer(text):
         s = m.group(1)
         if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
