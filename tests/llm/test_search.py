@@ -153,6 +153,30 @@ def test_pieces():
     assert paragraphs.pieces(f"{short}. {short}. {short}") == [(0, 33), (17, 49)] and paragraphs.pieces(f"{short}.\n{short}") == []
 
 
+def test_every_word_is_in_a_paragraph(words):
+    """Short lines and sentences too, unless the whole text is short."""
+    rng, cover = random.Random(4), lambda t: {i for a, b in paragraphs.pieces(t) for i in range(a, b)}
+    for _ in range(300):
+        t = "".join(words(rng.choice([1, 2, 5, 6, 9, 15, 30])) + rng.choice([". ", "\n", "\n\n", ".\n"]) for _ in range(rng.randint(1, 25)))
+        left = [w.group() for w in re.finditer(r"\S+", t) if not cover(t) >= set(range(*w.span()))] if len(t.split()) >= paragraphs.LINE_WORDS else []
+        assert not left, (t, paragraphs.pieces(t))
+        for x, y in zip(p := paragraphs.pieces(t), p[1:], strict=False):  # no paragraph is a near copy of one that it overlaps
+            a, b = grams(t[slice(*x)], 2), grams(t[slice(*y)], 2)
+            assert y[0] >= x[1] or len(a & b) / len(a | b) < paragraphs.THRESHOLD, (t, x, y)
+
+
+def test_shared_short_lines(spark, words):
+    """A poem of 20 lines of 10 words, in documents whose other short lines come to different numbers."""
+    poem = "\n".join(words(10, seed=900 + i) for i in range(20))
+    texts = ["\n".join([*(words(7, seed=50 * k + i) for i in range(k)), poem, *(words(9, seed=5000 + 50 * k + i) for i in range(k))]) for k in range(8)]
+    got = defaultdict(set)
+    for r in paragraphs.duplicate_paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).filter("is_removed").collect():
+        got[r.doc_id] |= set(range(r.start, r.stop))
+    for k in range(1, 8):
+        at = texts[k].index(poem)
+        assert len(got[k] & set(range(at, at + len(poem)))) > 0.5 * len(poem), k
+
+
 def test_tuning_reaches_its_recall():
     for t in (0.5, 0.7, 0.9):
         bands, rows = paragraphs.tune(t, 0.95)

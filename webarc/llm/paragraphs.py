@@ -2,14 +2,17 @@
 
 A text is cut at line ends and, as passages are often set into other lines, at sentence ends too. A piece of at least
 MIN_WORDS words is a paragraph; shorter neighbours in a line are paragraphs in pairs, if both together are long enough.
+Other short pieces are joined, also across line ends, and if they are too few, with words of their neighbours.
 The bands are tuned to the threshold for a given recall, paragraphs that collide in a band are joined, their exact
 Jaccard similarity decides, and connected paragraphs form a cluster of which the first one stays.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,33 +24,94 @@ from .common import Stored, components, mix, slices
 from .ngram_join import _set_hash, gram_sets, jaccard_pairs
 
 MIN_WORDS = 15
+#: What short lines must have together to be a paragraph; sentences of one line need MIN_WORDS.
+LINE_WORDS = 20
 GRAM = 2
 THRESHOLD = 0.7
 RECALL = 0.97
 MOST_HASHES = 64
+_VISIBLE = re.compile(r"\S+")
 _ENDS = re.compile(r"[^\S\n]*\n\s*|(?<=[.!?…])[^\S\n]+")
 
 
 def pieces(text: str, least: int = MIN_WORDS) -> list[tuple[int, int]]:
     """(start, stop) of the paragraphs, in characters and in order; pairs of short neighbours may overlap."""
-    out, at, before = [], 0, None
+    out, at, before, line = [], 0, None, 0
+    units, covered = [], []  # of each sentence or line: (start, stop, words, line), and whether a paragraph holds it
     for m in [*_ENDS.finditer(text), None]:
         stop = m.start() if m else len(text)
         words = len(text[at:stop].split()) if stop > at else 0
+        if words:
+            units.append((at, stop, words, line))
+            covered.append(words >= least)
         if words >= least:
             out.append((at, stop))
             before = None
         elif words:
             if before and before[1] + words >= least:
                 out.append((before[0], stop))
+                covered[-2:] = [True, True]
             before = (at, words)
         if m:
             at = m.end()
             if "\n" in m.group():
                 before = None
+                line += 1
+    if not all(covered):
+        out = _join_rest(text, units, covered, out, least)
     return out
 
 
+def _cuts(hashes: list[int], words: list[int], least: int) -> list[int]:
+    """Units to cut before: those of the least hash within least words on both sides, so equal lines are cut alike whatever stands before them; no part has fewer words."""
+    at = list(itertools.accumulate(words, initial=0))
+    out = []
+    for i, h in enumerate(hashes):
+        if at[i] < least or at[-1] - at[i] < least:
+            continue
+        j = i - 1
+        while j >= 0 and at[i] - at[j] < least and hashes[j] > h:
+            j -= 1
+        if j >= 0 and at[i] - at[j] < least:
+            continue
+        j = i + 1
+        while j < len(hashes) and at[j] - at[i] < least and hashes[j] >= h:
+            j += 1
+        if j == len(hashes) or at[j] - at[i] >= least:
+            out.append(i)
+    return out
+
+
+def _join_rest(text: str, units: list[tuple[int, int, int, int]], covered: list[bool], out: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Paragraphs (out) with those of the units that aren't covered by one: successive ones together, or with words from around, if they are too few."""
+    grown = dict(out)
+    more = []
+    for held, run in itertools.groupby(range(len(units)), covered.__getitem__):
+        if held:
+            continue
+        rest = [units[i] for i in run]
+        start, stop, words = rest[0][0], rest[-1][1], sum(u[2] for u in rest)
+        if words >= (least if rest[0][3] == rest[-1][3] else max(least, LINE_WORDS)):
+            cuts = _cuts([zlib.crc32(text[u[0] : u[1]].encode("utf-8", "replace")) for u in rest], [u[2] for u in rest], least)
+            more += [(rest[i][0], rest[j - 1][1]) for i, j in zip([0, *cuts], [*cuts, len(rest)], strict=True)]
+            continue
+        if len(units) == len(rest):
+            continue
+        need = max(2, least - words)
+        head = [m.start() for m in _VISIBLE.finditer(text, max(0, start - 32 * need), start)]
+        tail = [m.end() for m in _VISIBLE.finditer(text, stop, stop + 32 * need)]
+        if min(len(head), len(tail)) >= need - (least - 4):  # it doesn't hold so much of a neighbour as to be like it
+            left = min(len(head), max(need // 2, need - len(tail)))
+            right = min(len(tail), need - left)
+            more.append((head[-left] if left else start, tail[right - 1] if right else stop))
+        elif ends := [k for k, v in grown.items() if v <= start]:  # a word or three at an end of the text: part of the paragraph there
+            grown[max(ends)] = stop
+        else:
+            first = min(grown)
+            grown = {start if k == first else k: v for k, v in grown.items()}
+    return sorted([*grown.items(), *more])
+
+
 def tune(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows a band, so the fewest chance collisions, whose bands find a pair at the threshold with this recall."""
     best = None
