@@ -5,9 +5,11 @@ loops on the bytes; each merge (a, b) -> c is built in as a gadget: behind a, th
 goes; wherever a could start and b follow, an arc on c appears; behind c, the arcs are those behind b
 at that time. A state is thus named by its last token, and whether an arc exists is decided by the order of the
 gadgets: of the two tokens of an arc the later gadget decides, which leads back to an arc between its parts
-one gadget earlier. Arcs are compiled into the table when they are first asked for, and stay there.
+one gadget earlier. Automaton keeps the arcs that were asked for; no table of all arcs is compiled. The query runs
+Encoder, which keeps none: it takes the longest token of a byte trie of the vocabulary, backs up to shorter ones, and unwinds the
+merges anew for each pair of neighbours.
 
-A word is encoded from left to right. The state behind each prefix is unique: of the tokens that end there,
+By Automaton, a word is encoded from left to right. The state behind each prefix is unique: of the tokens that end there,
 found in a table of the vocabulary, the one whose arc leaves the state behind the rest. The path to
 the end gives the tokens; decoding emits the arcs' labels.
 """
