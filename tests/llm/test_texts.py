@@ -9,13 +9,14 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from webarc.llm import bpe, exact_dedup, fingerprints, language_id, mixing, pii, toxicity
 
 SF = "/root/testdata/sf0.001"
-WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
+WORD = regex.compile(r"\p{Han}|[^\W_\p{Han}]+")
 EDGE = [(None, "a null id", "en", "s"), (70, None, "en", "s"), (71, "", "en", "s"), (72, "  \n ", None, None), (73, "...", "de", "t"), (74, "word", "de", "t"), (74, "word", "de", "t"), (75, "Ünïcödé 漢字 🙂", "fr", None), (76, "x " * 60000, "fr", "u"), (77, "x " * 60000, "fr", "u")]
 
 

@@ -14,7 +14,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
@@ -22,10 +23,12 @@ _LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one where it is unset."""
+    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one where it is unset and one machine does all."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="webarc_shared_"))
     return _OWN_DIR[0]
@@ -72,19 +75,20 @@ def keep_small_side(small: DataFrame, rows: int, limit: int) -> DataFrame:
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given by its edges (u, v); a component is named by its lowest node.
 
-    Alternates large-star and small-star steps, each in memory of one group's order only; ends after a number of
-    rounds that grows with the logarithm of the nodes. NULLs and loops are dropped, repeated edges count once.
+    Alternates large-star and small-star steps; ends after a number of rounds that grows with the logarithm of the nodes. A node's
+    least neighbour comes from a partial aggregation and is joined back, so that a node with a large share of all edges
+    can be split over tasks. NULLs and loops are dropped, repeated edges count once.
     """
     store = Stored(spark, "components")
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v and u is not null and v is not null").distinct()
     now, at, before = store.write(now, "0"), 0, None
     mark = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    least = Window.partitionBy("u")
-    while (state := mark(now)) != before:
+    with_least = lambda e: e.join(e.groupBy("u").agg(F.min("v").alias("m")).hint("merge"), "u")
+    while (state := mark(now)) != before and state["n"]:
         before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(least))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().withColumn("m", F.min("v").over(least))
+        large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        low = with_least(large.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         small = low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
         at += 1
         now = store.write(small, str(at))
@@ -98,11 +102,60 @@ _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
 
-WORD_BYTE = np.zeros(256, np.bool_)
-WORD_BYTE[np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)] = True
-WORD_BYTE[128:] = True
-VISIBLE_BYTE = np.ones(256, np.bool_)
-VISIBLE_BYTE[np.frombuffer(b" \t\n\r\f\v", np.uint8)] = False
+#: Scripts written without blanks; each of their characters is a word.
+_SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+
+
+def _word_pattern(script: str, letters: str = "LNM") -> str:
+    lone = "".join(rf"\p{{{script}{x}}}" for x in _SCRIPTS)
+    return f"[{lone}]|(?:" + "|".join(rf"[^\P{{{x}}}{lone}]" for x in letters) + ")+"
+
+
+#: A word: a run of letters, digits and marks, or one character of those scripts. The same in SQL and in Java's dialect.
+WORD_SQL, WORD_JAVA = _word_pattern(""), _word_pattern("Is")
+#: What stands between words.
+BLANK_SQL = r"[^\p{L}\p{N}\p{M}" + "".join(rf"\p{{{x}}}" for x in _SCRIPTS) + "]+"
+_CLASSES: dict[str, np.ndarray] = {}
+
+
+def _class_table(what: str) -> np.ndarray:
+    """By code point: 0 for what parts words, 1 for a part of a word, 2 for a word of its own."""
+    if what not in _CLASSES:
+        table = np.zeros(0x110000, np.uint8)
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for pattern, value in ((r"[\p{L}\p{N}\p{M}]+", 1), ("[" + "".join(rf"\p{{{x}}}" for x in _SCRIPTS) + "]+", 2)) if what == "word" else ((r"\S+", 1),):
+            for m in regex.finditer(pattern, every):
+                a, b = (x + 0x800 * (x >= 0xD800) for x in m.span())
+                table[a:b] = value
+        table[0xD800:0xE000] = 0
+        _CLASSES[what] = table
+    return _CLASSES[what]
+
+
+def lead_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and code points of the characters outside ASCII."""
+    lead = np.flatnonzero(raw >= 0xC0)
+    if not len(lead):
+        return lead, lead
+    b = np.zeros((4, len(lead)), np.uint32)
+    for k in range(4):
+        b[k] = raw[np.minimum(lead + k, len(raw) - 1)]
+    two, three = (b[0] & 0x1F) << 6 | b[1] & 0x3F, (b[0] & 0x0F) << 12 | (b[1] & 0x3F) << 6 | b[2] & 0x3F
+    four = (b[0] & 0x07) << 18 | (b[1] & 0x3F) << 12 | (b[2] & 0x3F) << 6 | b[3] & 0x3F
+    return lead, np.minimum(np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four)), 0x10FFFF)
+
+
+def byte_classes(raw: np.ndarray, what: str = "word") -> np.ndarray:
+    """The class of the character that each byte of UTF-8 belongs to, by words or by what is visible."""
+    table = _class_table(what)
+    out = table[:256][raw]
+    lead, points = lead_points(raw)
+    if len(lead):
+        of, first = table[points], raw[lead]
+        for k in range(4):
+            more = np.flatnonzero(first >= (0, 0, 0xE0, 0xF0)[k])
+            out[np.minimum(lead[more] + k, len(raw) - 1)] = of[more]
+    return out
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,22 +210,23 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
-def words(raw: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of word bytes, never across rows: hash, row, first byte, end byte of each."""
+def words(raw: np.ndarray, offs: np.ndarray, kinds: np.ndarray, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words by the classes of the bytes, never across rows: hash (none, unless hashed), row, first byte, end byte of each."""
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z
-    inside = is_word[raw]
+    inside = kinds > 0
     first = inside.copy()
-    first[1:] &= ~inside[:-1]
+    alone = (kinds == 2) & ((raw & 0xC0) != 0x80)
+    first[1:] &= (kinds[1:] != kinds[:-1]) | alone[1:]
     starts_rows = offs[:-1][(offs[:-1] < n) & (np.diff(offs) > 0)]
     first[starts_rows] = inside[starts_rows]
     last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    ends_rows = starts_rows[1:] - 1
-    last[ends_rows] = inside[ends_rows]
+    last[:-1] &= ~inside[1:] | first[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if not hashed:
+        return np.zeros(0, np.uint64), np.searchsorted(offs, start, side="right") - 1, start, end
     p, inv = _powers(n)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)

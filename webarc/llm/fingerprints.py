@@ -10,16 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import WORD_JAVA, WORD_SQL
+
 WORDS_A_SHINGLE = 5
 #: The share of all hashes that is kept, as the first digits of an MD5 in hexadecimal: below 08 is 1/32.
 BELOW = "08"
-SCALE = 32
-WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 
 def sketch_of(text, k: int = WORDS_A_SHINGLE, below: str = BELOW):
     """Column: STRUCT<n_shingles, sketch> of a text column; the sketch is sorted and has 60-bit hashes."""
-    ws = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    ws = F.regexp_extract_all(F.lower(text), F.lit(WORD_JAVA), F.lit(0))
     last = lambda w: F.greatest(F.size(w) - (k - 1), F.least(F.size(w), F.lit(1)))
     hashed = lambda w: F.transform(F.sequence(F.lit(1), last(w)), lambda i: F.md5(F.concat_ws(" ", F.slice(w, i, k)).cast("binary")))
     kept = lambda w: F.when(F.size(w) > 0, F.filter(hashed(w), lambda h: h < below)).otherwise(F.array().cast("array<string>"))
@@ -32,7 +32,7 @@ def sketch_of(text, k: int = WORDS_A_SHINGLE, below: str = BELOW):
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS_A_SHINGLE, below: str = BELOW) -> DataFrame:
     """(key, n_shingles, sketch), one row for each row of docs.
 
-    Words are runs of ASCII letters and digits and of other characters, in lower case. A text of fewer than k words
+    Words are runs of letters, digits and marks in lower case, and each character of scripts written without blanks. A text of fewer than k words
     is one shingle; one without words has none and an empty sketch; a NULL text has NULL in both. Equal texts have equal sketches.
     Very long texts are covered whole. Columns but the two named aren't read.
     """
@@ -50,15 +50,21 @@ def containment(left: DataFrame, right: DataFrame, key: str = "doc_id", sketch:
     """(left_id, right_id, shared, containment, jaccard) of pairs whose sketches meet.
 
     containment is the share of the left document's shingles that the right one has, estimated from the
-    kept hashes; pairs that share none are left out, as are documents with an empty or NULL sketch. Hashes join by a shuffle.
+    kept hashes; pairs that share none are left out, as are documents with an empty or NULL sketch and rows without a key. Rows that
+    repeat a key are one document with the sketches of all. Hashes join by a shuffle; of a hash that many documents share, all
+    pairs of these are results, so give documents without their exact copies.
     """
-    side = lambda d, n: d.select(F.col(key).alias(f"{n}_id"), F.size(sketch).alias(f"{n}_n"), F.explode(sketch).alias("h"))
+
+    def side(d: DataFrame, n: str) -> DataFrame:
+        each = d.filter(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias(f"{n}_id"), F.explode(F.col(f"`{sketch}`")).alias("h")).distinct()
+        return each.join(each.groupBy(f"{n}_id").agg(F.count("*").alias(f"{n}_n")), f"{n}_id")
+
     both = side(left, "left").join(side(right, "right"), "h").groupBy("left_id", "right_id", "left_n", "right_n").agg(F.count("*").alias("shared"))
-    return both.select("left_id", "right_id", "shared", (F.col("shared") / F.col("left_n")).alias("containment"), (F.col("shared") / (F.col("left_n") + F.col("right_n") - F.col("shared"))).alias("jaccard"))
+    return both.select("left_id", "right_id", "shared", F.try_divide("shared", "left_n").alias("containment"), F.try_divide("shared", F.col("left_n") + F.col("right_n") - F.col("shared")).alias("jaccard"))
 
 
 FINGERPRINTS_SQL = rf"""
-WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{WORD}') AS ws FROM documents),
+WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{WORD_SQL}') AS ws FROM documents),
 h AS (
   SELECT doc_id, text IS NULL AS missing, CASE WHEN len(ws) > 0 THEN greatest(len(ws) - {WORDS_A_SHINGLE - 1}, 1) ELSE 0 END AS n,
     CASE WHEN len(ws) > 0 THEN list_transform(range(1, greatest(len(ws) - {WORDS_A_SHINGLE - 1}, 1) + 1),

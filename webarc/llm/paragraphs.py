@@ -11,17 +11,15 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, components, mix, slices
-from .ngram_join import _set_hash, gram_sets, jaccard_pairs
+from .common import Stored, buffer_of, byte_classes, lead_points, mix, slices, words
+from .ngram_join import Unseen, _first_of_class, gram_sets, linked_sets, named_sets, set_hash
 
 MIN_WORDS = 15
 #: What short lines must have together to be a paragraph; sentences of one line need MIN_WORDS.
@@ -30,36 +28,94 @@ GRAM = 2
 THRESHOLD = 0.7
 RECALL = 0.97
 MOST_HASHES = 64
-_VISIBLE = re.compile(r"\S+")
-_ENDS = re.compile(r"[^\S\n]*\n\s*|(?<=[.!?…])[^\S\n]+")
 
 
 def pieces(text: str, least: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(start, stop) of the paragraphs, in characters and in order; pairs of short neighbours may overlap."""
-    out, at, before, line = [], 0, None, 0
-    units, covered = [], []  # of each sentence or line: (start, stop, words, line), and whether a paragraph holds it
-    for m in [*_ENDS.finditer(text), None]:
-        stop = m.start() if m else len(text)
-        words = len(text[at:stop].split()) if stop > at else 0
-        if words:
-            units.append((at, stop, words, line))
-            covered.append(words >= least)
-        if words >= least:
-            out.append((at, stop))
-            before = None
-        elif words:
-            if before and before[1] + words >= least:
-                out.append((before[0], stop))
-                covered[-2:] = [True, True]
-            before = (at, words)
-        if m:
-            at = m.end()
-            if "\n" in m.group():
-                before = None
-                line += 1
-    if not all(covered):
-        out = _join_rest(text, units, covered, out, least)
-    return out
+    """(start, stop) of the paragraphs of one text, in characters and in order; pairs of short neighbours may overlap."""
+    raw, offs = buffer_of(pa.array([text]))
+    _, start, stop = cut(raw, offs, least)
+    chars = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+    return list(zip(chars[start].tolist(), chars[stop].tolist(), strict=True))
+
+
+def _breaks(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of visible characters: whether a sentence or line ends behind each, and whether a line does."""
+    lines = np.cumsum(np.r_[False, raw == 10])
+    line = lines[start[1:]] > lines[end[:-1]]
+    mark = np.isin(raw[end - 1], np.frombuffer(b".!?", np.uint8))
+    wide = np.flatnonzero((raw[end - 1] & 0xC0) == 0x80)  # the last character of three bytes: an ellipsis or an East Asian full stop
+    if len(wide):
+        lead, points = lead_points(raw)
+        last = np.searchsorted(lead, end[wide], side="right") - 1
+        mark[wide] = np.isin(points[last], [ord(c) for c in "…。！？"])
+    return np.r_[line | mark[:-1], True], np.r_[line, True]
+
+
+def cut(raw: np.ndarray, offs: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and end byte of the paragraphs of many texts, by row and place. Words are those that n-grams are made of."""
+    none = np.zeros(0, np.int64)
+    _, vrow, vstart, vend = words(raw, offs, byte_classes(raw, "visible"), False)
+    _, wrow, wstart, wend = words(raw, offs, byte_classes(raw), False)
+    if not len(wrow):
+        return none, none, none
+    ends, lines = _breaks(raw, vstart, vend)
+    ends[:-1] |= vrow[1:] != vrow[:-1]
+    of = np.cumsum(np.r_[0, ends[:-1]])  # the unit of each visible run: a sentence, or a line
+    head = np.flatnonzero(np.r_[True, ends[:-1]])
+    tail = np.r_[head[1:], len(of)] - 1
+    line_of = np.cumsum(np.r_[0, (lines[:-1] | (vrow[1:] != vrow[:-1]))])[head]
+    unit = of[np.searchsorted(vstart, wstart, side="right") - 1]
+    size = np.bincount(unit, minlength=len(head))
+    some = np.flatnonzero(size)  # units without a word are left out
+    row, start, stop, line, size = vrow[head][some], vstart[head][some], vend[tail][some], line_of[some], size[some]
+    upto = np.r_[0, np.cumsum(size)]  # words before each unit
+    long = size >= least
+    m = len(size)
+    next_to = (row[1:] == row[:-1]) & (line[1:] == line[:-1])
+    pair = np.flatnonzero(next_to & ~long[1:] & ~long[:-1] & (size[1:] + size[:-1] >= least))
+    covered = long.copy()
+    covered[pair] = covered[pair + 1] = True
+    out = [(row[long], start[long], stop[long]), (row[pair], start[pair], stop[pair + 1])]
+
+    rest = ~covered
+    first = np.flatnonzero(rest & np.r_[True, ~rest[:-1] | (row[1:] != row[:-1])])
+    last = np.flatnonzero(rest & np.r_[~rest[1:] | (row[1:] != row[:-1]), True])
+    have = upto[last + 1] - upto[first]
+    need = np.where(line[first] == line[last], least, max(least, LINE_WORDS))
+    enough = have >= need
+    one = np.flatnonzero(enough & ((have < 2 * least) | (first == last)))
+    out.append((row[first[one]], start[first[one]], stop[last[one]]))
+    many = np.flatnonzero(enough & ~((have < 2 * least) | (first == last)))
+    if len(many):
+        found = []
+        for a, b in zip(first[many].tolist(), (last[many] + 1).tolist(), strict=True):
+            hashes = [zlib.crc32(raw[x:y]) for x, y in zip(start[a:b].tolist(), stop[a:b].tolist(), strict=True)]
+            at = [a, *(a + i for i in _cuts(hashes, size[a:b].tolist(), least)), b]
+            found += zip(at, at[1:], strict=False)
+        a, b = np.array(found, np.int64).T
+        out.append((row[a], start[a], stop[b - 1]))
+    edge_first, edge_last = np.searchsorted(row, np.arange(len(offs) - 1)), np.searchsorted(row, np.arange(len(offs) - 1), side="right") - 1
+    few = np.flatnonzero(~enough & ((first > edge_first[row[first]]) | (last < edge_last[row[first]])))
+    f, g = first[few], last[few]
+    short = np.maximum(2, least - have[few])
+    before, behind = upto[f] - upto[edge_first[row[f]]], upto[edge_last[row[f]] + 1] - upto[g + 1]
+    between = np.minimum(before, behind) >= short - (least - 4)  # it doesn't hold so much of a neighbour as to be like it
+    f, g, short, before, behind = (x[between] for x in (f, g, short, before, behind))
+    left = np.minimum(before, np.maximum(short // 2, short - behind))
+    right = np.minimum(behind, short - left)
+    out.append((row[f], np.where(left > 0, wstart[np.minimum(upto[f] - left, len(wstart) - 1)], start[f]), np.where(right > 0, wend[np.minimum(upto[g + 1] + right - 1, len(wend) - 1)], stop[g])))
+    r, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((b, a, r))
+    r, a, b = r[order], a[order], b[order]
+    for k in few[~between].tolist():  # a word or three at an end of the text: part of the paragraph there
+        of_row, x, y = row[first[k]], start[first[k]], stop[last[k]]
+        lo, hi = np.searchsorted(r, [of_row, of_row + 1])
+        ended = lo + np.flatnonzero(b[lo:hi] <= x)
+        if len(ended):
+            b[ended[-1]] = y
+        elif hi > lo:
+            a[lo] = x
+    return r, a, b
 
 
 def _cuts(hashes: list[int], words: list[int], least: int) -> list[int]:
@@ -82,36 +138,6 @@ def _cuts(hashes: list[int], words: list[int], least: int) -> list[int]:
     return out
 
 
-def _join_rest(text: str, units: list[tuple[int, int, int, int]], covered: list[bool], out: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Paragraphs (out) with those of the units that aren't covered by one: successive ones together, or with words from around, if they are too few."""
-    grown = dict(out)
-    more = []
-    for held, run in itertools.groupby(range(len(units)), covered.__getitem__):
-        if held:
-            continue
-        rest = [units[i] for i in run]
-        start, stop, words = rest[0][0], rest[-1][1], sum(u[2] for u in rest)
-        if words >= (least if rest[0][3] == rest[-1][3] else max(least, LINE_WORDS)):
-            cuts = _cuts([zlib.crc32(text[u[0] : u[1]].encode("utf-8", "replace")) for u in rest], [u[2] for u in rest], least)
-            more += [(rest[i][0], rest[j - 1][1]) for i, j in zip([0, *cuts], [*cuts, len(rest)], strict=True)]
-            continue
-        if len(units) == len(rest):
-            continue
-        need = max(2, least - words)
-        head = [m.start() for m in _VISIBLE.finditer(text, max(0, start - 32 * need), start)]
-        tail = [m.end() for m in _VISIBLE.finditer(text, stop, stop + 32 * need)]
-        if min(len(head), len(tail)) >= need - (least - 4):  # it doesn't hold so much of a neighbour as to be like it
-            left = min(len(head), max(need // 2, need - len(tail)))
-            right = min(len(tail), need - left)
-            more.append((head[-left] if left else start, tail[right - 1] if right else stop))
-        elif ends := [k for k, v in grown.items() if v <= start]:  # a word or three at an end of the text: part of the paragraph there
-            grown[max(ends)] = stop
-        else:
-            first = min(grown)
-            grown = {start if k == first else k: v for k, v in grown.items()}
-    return sorted([*grown.items(), *more])
-
-
 def tune(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows a band, so the fewest chance collisions, whose bands find a pair at the threshold with this recall."""
     best = None
@@ -130,12 +156,15 @@ def banding(bands: int, rows: int):
 
     def sign(n: int, threshold: float):
         def run(batches):
+            unseen = Unseen()
             for batch in batches:
-                for a, b in slices(batch.column(1), 1 << 20):
-                    g, r = gram_sets(batch.column(1).slice(a, b - a), n)
+                for a, b in slices(batch.column(0), 1 << 20):
+                    g, r = gram_sets(batch.column(0).slice(a, b - a), n)
+                    ha = set_hash(g, r, b - a)[0]
+                    new = unseen.of(ha)[r]
+                    g, r = g[new], r[new]
                     if not len(g):
                         continue
-                    ha, _ = _set_hash(g, r, b - a)
                     heads = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
                     keys = []
                     with np.errstate(over="ignore"):
@@ -153,19 +182,25 @@ def banding(bands: int, rows: int):
     return sign
 
 
-def split(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = MIN_WORDS) -> DataFrame:
-    """(key, start, stop, paragraph) of all paragraphs; NULL texts and NULL keys have none."""
+def split(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = MIN_WORDS, n: int = GRAM) -> DataFrame:
+    """(__wa_key, start, stop, ha, t) of all paragraphs, ha being the hash of the set of n-grams; NULL texts and NULL keys have none."""
 
     def run(batches):
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                texts = pc.fill_null(batch.column(1).slice(a, b - a), "").to_pylist()
-                found = [(a + i, x, y, t[x:y]) for i, t in enumerate(texts) for x, y in pieces(t, least)]
-                row, start, stop, part = zip(*found, strict=True) if found else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(part, pa.string())], names=["__wa_key", "start", "stop", "t"])
+                raw, offs = buffer_of(batch.column(1).slice(a, b - a))
+                row, start, stop = cut(raw, offs, least)
+                size = stop - start
+                upto = np.cumsum(size) - size
+                data = raw[np.arange(int(size.sum())) + np.repeat(start - upto, size)]
+                t = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(np.r_[upto, len(data)].astype(np.int64)), pa.py_buffer(data))
+                ha = named_sets(t, np.zeros(len(size), np.int64), n)  # a paragraph has words
+                chars = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+                base = chars[offs[row]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(chars[start] - base), pa.array(chars[stop] - base), pa.array(ha), t.cast(pa.string())], names=["__wa_key", "start", "stop", "ha", "t"])
 
     named = docs.select(F.col(f"`{key}`").alias("__wa_key"), F.col(f"`{text}`").cast("string").alias("__wa_text")).filter("__wa_key is not null and __wa_text is not null")
-    return named.mapInArrow(run, f"__wa_key {named.schema[0].dataType.simpleString()}, start bigint, stop bigint, t string")
+    return named.mapInArrow(run, f"__wa_key {named.schema[0].dataType.simpleString()}, start bigint, stop bigint, ha bigint, t string")
 
 
 def duplicate_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = MIN_WORDS, n: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -178,14 +213,12 @@ def duplicate_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id
     NULL keys and texts, empty texts and ones without a paragraph have no row. Rows that repeat a key are documents of
     their own; ties between them are settled by the paragraphs' order in the table. An empty table gives an empty result. Texts are read whole; columns but the two named aren't read.
     """
-    spark = docs.sparkSession
-    store = Stored(spark, "paragraphs")
-    parts = store.write(split(docs, text, key, least).withColumn("pid", F.monotonically_increasing_id()), "parts")
-    pairs = jaccard_pairs(parts.select("pid", "t"), "t", "pid", n, threshold, spanning=True, sign=banding(*tune(threshold, recall)))
-    groups = components(spark, pairs.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")))
-    member = parts.select("pid", F.col("__wa_key"), "start", "stop").join(groups, F.col("pid") == F.col("node"))
-    first = member.groupBy("component").agg(F.min(F.struct("__wa_key", "start", "pid")).alias("first"))
-    whole = member.join(first, "component")
-    return whole.select(
-        F.col("__wa_key").alias(key), "start", "stop", F.col("first.__wa_key").alias("kept_id"), F.col("first.start").alias("kept_start"), (F.col("pid") != F.col("first.pid")).alias("is_removed")
+    store = Stored(docs.sparkSession, "paragraphs")
+    parts = store.write(split(docs, text, key, least, n).withColumn("id", F.monotonically_increasing_id()), "parts")
+    named = parts.select("id", "__wa_key", "start", "stop", "ha")
+    linked = store.write(linked_sets(store, parts.select("id", "t"), named, n, threshold, False, banding(*tune(threshold, recall))), "linked")
+    first = _first_of_class(named, linked, ["__wa_key", "start", "id"]).filter("size > 1")
+    found = named.join(first.hint("merge"), "ha")
+    return found.select(
+        F.col("__wa_key").alias(key), "start", "stop", F.col("first.__wa_key").alias("kept_id"), F.col("first.start").alias("kept_start"), (F.col("id") != F.col("first.id")).alias("is_removed")
     )

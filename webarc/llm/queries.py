@@ -50,7 +50,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_pairs(documents(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 6))
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,21 +76,5 @@ SELECT doc_id,
   text IS NOT NULL AND row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) > 1 AS is_duplicate
 FROM documents""",
         "op9_suffix_array_dedup": suffix_dedup.PASSAGES_SQL,
-        "op8_ngram_jaccard_join": rf"""
-WITH w AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws
-  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (
-  SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < {ngram_join.GRAM} THEN ws
-    ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END)) AS grams
-  FROM w WHERE len(ws) > 0),
-named AS (SELECT doc_id, grams, min(doc_id) OVER (PARTITION BY grams) AS rep FROM g),
-e AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS x FROM named WHERE doc_id = rep),
-pairs AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, CAST(count(*) AS DOUBLE) / (a.n + b.n - count(*)) AS jaccard
-  FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n)
-SELECT doc_a, doc_b, round(jaccard, 6) AS jaccard FROM pairs WHERE jaccard >= {ngram_join.THRESHOLD}
-UNION ALL
-SELECT rep, doc_id, 1.0 FROM named WHERE doc_id > rep""",
+        "op8_ngram_jaccard_join": ngram_join.NEAR_DUPLICATES_SQL,
     }

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTE, Stored, _powers, buffer_of, grams, keep_small_side, mix, slices, words
+from .common import BLANK_SQL, WORD_SQL, Stored, _powers, buffer_of, byte_classes, grams, keep_small_side, mix, slices, words
 
 MATCH = 50
 PREFIX = 16
@@ -58,7 +58,7 @@ def sampled(h: np.ndarray, row: np.ndarray, match: int = MATCH, prefix: int = PR
 def _words(texts: pa.Array):
     raw, offs = buffer_of(texts)
     low = _LOWER[raw]
-    h, row, start, end = words(low, offs, WORD_BYTE)
+    h, row, start, end = words(low, offs, byte_classes(low))
     return raw, offs, h, row, start, end
 
 
@@ -224,7 +224,7 @@ def _spans(columns: list[np.ndarray]) -> pa.RecordBatch:
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", match: int = MATCH, prefix: int = PREFIX, batches: int = BATCHES) -> DataFrame:
     """(key, start, stop, n_words, is_removed): a row for each passage of at least match words whose every run of match words comes elsewhere too.
 
-    start and stop count characters. Words are runs of ASCII letters and digits (case aside) and of other characters; what stands between
+    start and stop count characters. Words are runs of letters, digits and marks (ASCII case aside), and each character of scripts without blanks; what stands between
     them doesn't count. A run stays where it comes first, by key, then by place: passages of such runs have is_removed false,
     those of later ones true; the two can overlap. Passages may repeat within a document or across documents.
 
@@ -257,13 +257,13 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
 PASSAGES_SQL = rf"""
 WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-cut AS (SELECT doc_id, text, regexp_extract_all(text, '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+|[^0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+') AS xs FROM t),
+cut AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD_SQL}|{BLANK_SQL}') AS xs FROM t),
 tok AS (SELECT doc_id, text, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM cut),
 pos AS (SELECT *, CAST(sum(length(x)) OVER (PARTITION BY doc_id, text ORDER BY i) AS BIGINT) AS stop FROM tok),
 doc AS (
   SELECT doc_id, text, list(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ORDER BY i) AS ws,
     list(stop - length(x) ORDER BY i) AS firsts, list(stop ORDER BY i) AS stops
-  FROM pos WHERE regexp_matches(x, '^[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]') GROUP BY doc_id, text),
+  FROM pos WHERE regexp_full_match(x, '{WORD_SQL}') GROUP BY doc_id, text),
 place AS (SELECT *, unnest(range(1, len(ws) - {MATCH - 2})) AS k FROM doc WHERE len(ws) >= {MATCH}),
 run AS (
   SELECT doc_id, md5(text) AS mark, k, md5(array_to_string(ws[k:k + {MATCH - 1}], ' ')) AS h, firsts[k] AS first, stops[k + {MATCH - 1}] AS stop

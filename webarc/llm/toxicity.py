@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import VISIBLE_BYTE, WORD_BYTE, buffer_of, slices, small_batches, words
+from .common import buffer_of, byte_classes, slices, small_batches, words
 
 #: Labelled rows that the model is fitted on, at most; they are picked by a hash. All documents are scored.
 SAMPLE_ROWS = 20_000
@@ -53,7 +53,7 @@ _LETTER[97:123] = _LETTER[128:] = True
 
 def hashes(terms: list[str]) -> np.ndarray:
     raw, offs = buffer_of(pa.array([t.lower() for t in terms], pa.string()))
-    return np.unique(words(raw, offs, WORD_BYTE)[0])
+    return np.unique(words(raw, offs, byte_classes(raw))[0])
 
 
 def _among(h: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -69,7 +69,7 @@ def features(texts: pa.Array, given: np.ndarray, learnt: np.ndarray, you: np.nda
     size = np.maximum(np.diff(offs), 1)
     count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offs])
     low_raw, low_offs = buffer_of(pc.utf8_lower(texts))
-    h, row, start, end = words(low_raw, low_offs, WORD_BYTE)
+    h, row, start, end = words(low_raw, low_offs, byte_classes(low_raw))
     total = np.maximum(np.bincount(row, minlength=n), 1)
     per = lambda mask: np.bincount(row[mask], minlength=n)
     in_given, in_learnt, in_you = _among(h, given), _among(h, learnt), _among(h, you)
@@ -83,13 +83,13 @@ def features(texts: pa.Array, given: np.ndarray, learnt: np.ndarray, you: np.nda
 
     plain = np.delete(low_raw, np.flatnonzero(_DROPPED[low_raw]))
     plain_offs = np.concatenate([[0], np.cumsum(~_DROPPED[low_raw])])[low_offs]
-    oh, orow, _, _ = words(_LOOKALIKE[plain], plain_offs, VISIBLE_BYTE)
+    oh, orow, _, _ = words(_LOOKALIKE[plain], plain_offs, byte_classes(_LOOKALIKE[plain], "visible"))
     both = np.union1d(given, learnt)
     clear = np.bincount(orow[_among(oh, both)], minlength=n)
     hidden = np.maximum(clear - per(hit), 0)
 
     upper = _UPPER[raw]
-    w_h, w_row, w_start, w_end = words(raw, offs, WORD_BYTE)
+    w_h, w_row, w_start, w_end = words(raw, offs, byte_classes(raw))
     ups = np.concatenate([[0], np.cumsum(upper)])
     shouted = (w_end - w_start >= 3) & (ups[w_end] - ups[w_start] == w_end - w_start)
     wrow = np.bincount(w_row[shouted], minlength=n)
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             y, fold = (np.asarray(batch.column(i)) for i in (1, 2))
             for a, b in slices(batch.column(0)):
                 raw, offs = buffer_of(pc.utf8_lower(batch.column(0).slice(a, b - a)))
-                h, r, _, _ = words(raw, offs, WORD_BYTE)
+                h, r, _, _ = words(raw, offs, byte_classes(raw))
                 pairs = np.unique(np.stack([r.astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
                 r = pairs[0].astype(np.int64) + a
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64)), pa.array(y[r]), pa.array(fold[r])], names=["h", "y", "fold"])
