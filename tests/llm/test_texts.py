@@ -98,52 +98,95 @@ def test_exact_copies_over_many_batches(spark, words):
 
 
 def test_radix_tree_needs_no_digest():
-    t = exact_dedup.RadixTree(0)
+    """Documents of one length each, which share beginnings of every depth."""
     rng = random.Random(0)
-    seen = {}
+    trees, seen = {}, {}
     for i in range(3000):
-        d = bytes(rng.choice(b"ab") for _ in range(40 + 10 * (i % 3)))[: 6 if i % 2 else 70] + b"tail"
-        assert t.place(d, i) == ((True, seen[d]) if d in seen else (False, i)) or len({len(x) for x in seen}) > 1
+        d = b"a" * rng.choice([0, 15, 16, 17, 31, 60, 64, 80, 300]) + bytes(rng.choice(b"ab") for _ in range(4))
+        assert trees.setdefault(len(d), exact_dedup.RadixTree(0)).place(d, i) == ((True, seen[d]) if d in seen else (False, i))
         seen.setdefault(d, i)
 
 
+@pytest.mark.parametrize("shared", [1_000_000, 0])
+def test_large_groups_split_over_the_cluster(spark, monkeypatch, shared):
+    """Groups that end at each level, and ones that only part there; with repeated ids, NULL ids and texts, and strings as ids."""
+    monkeypatch.setattr(exact_dedup, "LEAST_HOT", 5)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_DIGITS", shared)
+    monkeypatch.setattr(exact_dedup, "DEEPER", 3)
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    rng = random.Random(3)
+    bases = ["", "short", "sixteen bytes ok", "x" * 40, "y" * 200, "common head " * 9]
+    texts = [b + rng.choice(["", "", "", "1", "2", "é"]) for b in bases for _ in range(60)] + [f"alone {i}" for i in range(30)] + [None] * 20
+    rows = [(None if rng.random() < 0.1 else f"u{rng.randrange(250):03}", t) for t in texts]
+    try:
+        got = exact_dedup.mark_exact_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+        kept = exact_dedup.mark_exact_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), keep=["doc_id", "text"], only_kept=True, keeper=None, flag=None).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    lowest = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            lowest[t] = min(lowest.get(t, i), i)
+    assert Counter((r.doc_id, r.text, r.keep_id) for r in got) == Counter((i, t, i if t is None else lowest.get(t)) for i, t in rows)
+    stay = Counter([(lowest.get(t), t) for t in {t for _, t in rows if t is not None}] + [(i, t) for i, t in rows if t is None])
+    assert Counter((r.doc_id, r.text) for r in got if not r.is_duplicate) == stay and Counter(map(tuple, kept)) == stay
+
+
 # ---- languages ----------------------------------------------------------------------------------
 
 
-def slow_phrases(text, sample, classes):
-    """Greedy longest matches in a sample, by substring search; in segments, each of which closes its last phrase."""
-    count = 0
-    for s in range(0, len(text), language_id.SEGMENT):
-        part, at = text[s : s + language_id.SEGMENT], 0
-        now = ""
-        count += 1
-        for c in part:
-            if now + c in sample:
-                now += c
-            else:
-                count += 1
-                now = c if c in sample else ""
+def slow_phrases(text, sample):
+    """Greedy longest matches in a sample, by substring search."""
+    count, now = 1, ""
+    for c in text:
+        if now + c in sample:
+            now += c
+        else:
+            count += 1
+            now = c if c in sample else ""
     return count
 
 
-def test_suffix_automaton_and_parse():
+def test_suffix_automaton_and_parse(monkeypatch):
     rng = random.Random(6)
     for _ in range(20):
-        codes = [rng.choice([1, 2, 3]) for _ in range(rng.randint(1, 60))]
-        table_ = language_id.suffix_automaton(codes, 5)
-        text = "".join(map(str, codes))
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(1, 60)))
+        nxt = language_id.suffix_automaton([ord(c) for c in text])
         for _ in range(60):
-            q = [rng.choice([1, 2, 3, 4]) for _ in range(rng.randint(1, 6))]
+            q = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 6)))
             s = 1
             for c in q:
-                s = s and table_[s, c]
-            assert bool(s) == ("".join(map(str, q)) in text)
-    codes = [1, 2, 1, 1, 3, 2, 2, 1]
-    m = language_id.Model(["a"], np.zeros(1), 5, language_id._restarting(language_id.suffix_automaton(codes, 5)).ravel(), np.array([0]))
-    for _ in range(60):
-        q = [rng.choice([1, 2, 3, 4]) for _ in range(rng.choice([1, 5, 255, 256, 257, 600]))]
-        got = language_id.phrases(np.array(q), np.array([0, len(q)]), m)[0, 0]
-        assert got == slow_phrases("".join(map(str, q)), "".join(map(str, codes)), None)
+                s = s and nxt[s].get(ord(c), 0)
+            assert bool(s) == (q in text)
+    monkeypatch.setattr(language_id, "SEGMENT", 7)
+    for dense in (1, 1000):
+        model = language_id.model_of({"x": "abaacbba", "y": "ccabbbcabcabaac"}, dense)
+        texts = ["".join(rng.choice("abcd" if k % 2 else "abc") for _ in range(rng.choice([0, 1, 6, 7, 8, 14, 29, 100]))) for k in range(80)] + ["ab" * 100, "d" * 50, "abc" * 70]
+        import pyarrow as pa
+
+        got = language_id.phrases(*language_id.encode(pa.array(texts), model.classes), model)
+        assert got.tolist() == [[slow_phrases(t, "abaacbba"), slow_phrases(t, "ccabbbcabcabaac")] if t else [0, 0] for t in texts]
+
+
+def test_winner_over_many_scripts(spark):
+    """Which language wins, by brute force, over languages of Latin, Greek, Cyrillic, Chinese and Japanese letters with word lists of their own."""
+    rng = random.Random(11)
+    alphabets = {"la": "abcdefghilmnopqrstuv", "lb": "abcdefghijklmnoprstuz", "el": "αβγδεζηθικλμνξοπρστυφω", "ru": "абвгдежзийклмнопрстуфхцчшщыьэюя", "zh": "".join(map(chr, range(0x4E00, 0x5400))), "ja": "".join(map(chr, [*range(0x3041, 0x3090), *range(0x5400, 0x5900)]))}
+    lists = {k: ["".join(rng.choice(a) for _ in range(rng.randint(2, 3 if k in ("zh", "ja") else 8))) for _ in range(400)] for k, a in alphabets.items()}
+    text = lambda k, n: (" " if k not in ("zh", "ja") else "").join(rng.choice(lists[k]) for _ in range(n))
+    train = {k: text(k, 1500) for k in alphabets}
+    model = language_id.model_of(train, 300)
+    assert set(model.sparse) == {model.labels.index("zh"), model.labels.index("ja")}
+    rows = [(i, text(k, rng.choice([4, 12, 120])), k) for i, k in enumerate([*alphabets] * 12)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), model).collect()}
+    flat = {k: re.sub(r"\W+", " ", t) for k, t in train.items()}
+    for i, t, k in rows:
+        counts = {x: slow_phrases(t, flat[x]) for x in flat}
+        best = min(sorted(counts), key=counts.get)
+        assert (got[i].phrases, got[i].predicted_lang) == (counts[best], best)
+    assert sum(got[i].predicted_lang == k for i, _, k in rows) >= 0.97 * len(rows)
+    other = [(1, "გამარჯობა მსოფლიო", "ka"), (2, "שלום עולם", "he")]
+    assert all(r.rejected for r in language_id.identify(spark.createDataFrame(other, "doc_id bigint, text string, lang string"), model).collect())
 
 
 def test_language_accuracy_on_held_out_documents(spark):

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, slices, small_batches
+from .common import Table, buffer_of, slices, small_batches
 
 #: Folder of the public tokenizer files and the one that the queries use; both can be given.
 FOLDER = os.environ.get("WEBARC_TOKENIZERS", "/opt/tokenizers")
@@ -198,41 +198,6 @@ class Automaton:
         return b"".join([labels[t] for t in tokens]).decode("utf-8", "replace")
 
 
-class Table:
-    """A hash table from non-negative 64-bit keys to 32-bit values, looked up for many keys at once."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(3 * len(keys)).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.full(1 << self.bits, -1, np.int32)
-        at, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = self.keys[at[left]] < 0
-            slots, first = np.unique(at[left[free]], return_index=True)
-            placed = left[free][first]
-            self.keys[slots], self.values[slots] = keys[placed], values[placed]
-            left = left[self.keys[at[left]] != keys[left]]
-            at[left] = (at[left] + 1) & (len(self.keys) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values; -1 for keys that aren't there."""
-        at = self._slot(keys)
-        found = self.keys[at]
-        out = np.where(found == keys, self.values[at], -1)
-        left = np.flatnonzero((found != keys) & (found >= 0))
-        while len(left):
-            at[left] = (at[left] + 1) & (len(self.keys) - 1)
-            found = self.keys[at[left]]
-            same = found == keys[left]
-            out[left[same]] = self.values[at[left[same]]]
-            left = left[~same & (found >= 0)]
-        return out
-
-
 def _rows(values: np.ndarray, offs: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The chosen rows of ragged data, one behind the other, and their sizes."""
     size = (offs[1:] - offs[:-1])[take]

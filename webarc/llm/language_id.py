@@ -4,9 +4,10 @@ For each language a suffix automaton of labelled text recognises exactly that te
 A document is parsed greedily: each phrase is the longest match of the automaton, and the next phrase
 starts behind it. The language that needs fewest phrases for the document's characters wins.
 
-Automata are dense transition tables. A missing transition is stored as the negated state that the
-restart reaches, so one table look-up a character and language does both; all segments of a batch
-of documents advance together.
+Every letter of the labelled text has its own class. An automaton over an alphabet of ordinary size is a dense transition table; a missing
+transition is stored as the negated state that the restart reaches, so one table look-up does both. One over thousands of characters is a hash
+table. Long texts are parsed in segments at once, each as if a phrase began with it; then the phrase that really crosses its start is followed
+until both parses stand in the same state, and the count is put right. So the result is that of one parse of the whole text.
 """
 
 from __future__ import annotations
@@ -18,25 +19,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, slices, small_batches
+from .common import Table, buffer_of, slices, small_batches
 
-#: Bounds of the labelled sample that the automata are built from; all else covers every row.
+#: Bounds of the labelled sample that the automata are built from; all else covers every row. More languages are an error.
 SAMPLE_CHARS = 40_000
-MOST_LANGUAGES = 64
-#: A phrase never runs across the border of such a segment; each border adds one phrase at most to every language alike.
+MOST_LANGUAGES = 400
+#: Texts are parsed in so many units at once; the results don't depend on it.
 SEGMENT = 256
 #: Above this rate of phrases a character, no language explains the text.
 REJECT_RATE = 0.5
-_LETTERS = 62
+#: Alphabets of more letters have a hash table of transitions.
+DENSE_LETTERS = 300
 
 
 @dataclass
 class Model:
     labels: list[str]
-    classes: np.ndarray  # of each code point: 0 no letter, 1.. the letter, width - 1 a letter unseen in the sample
-    width: int  # of a state's row: as many as there are classes
-    tables: np.ndarray  # next state by language offset + state * width + class; negative: a phrase ended before
+    classes: np.ndarray  # of each code point: 0 no letter, 1.. the letter, count - 1 a letter unseen in the sample
+    count: int
+    local: np.ndarray  # by language and class, the column in the language's table; its last column is for letters that it doesn't have
+    width: np.ndarray  # by language, the columns of a state; 0 for one with a hash table
+    tables: np.ndarray  # next state by language offset + state * width + column; negative: a phrase ended before
     bases: np.ndarray  # by language, the place of its table
+    sparse: dict[int, tuple[Table, np.ndarray]]  # by language, the table of state * count + class, and where the root goes by class, negated
+
+    def step(self, lang: np.ndarray, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Where each parse goes on reading its unit; negative if a phrase ended before it."""
+        if not self.sparse:
+            return self.tables[self.bases[lang] + state * self.width[lang] + self.local[lang, code]]
+        to = np.empty(len(lang), np.int64)
+        dense = self.width[lang] > 0
+        k = lang[dense]
+        to[dense] = self.tables[self.bases[k] + state[dense] * self.width[k] + self.local[k, code[dense]]]
+        for k in self.sparse:
+            mine = lang == k
+            to[mine] = self.look_up(k, state[mine], code[mine])
+        return to
+
+    def look_up(self, k: int, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        table, again = self.sparse[k]
+        to = table.get(state * self.count + code).astype(np.int64)
+        return np.where(to > 0, to, again[code])
 
 
 def _alpha() -> np.ndarray:
@@ -50,8 +73,8 @@ def _alpha() -> np.ndarray:
     return out
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions (0: none) of the automaton that accepts every substring; its root is state 1."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions by state of the automaton that accepts every substring; its root is state 1."""
     nxt: list[dict[int, int]] = [{}, {}]
     link, length = [0, 0], [0, 0]
     last = 1
@@ -80,17 +103,46 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.zeros((len(nxt), width), np.int32)
-    for s, row in enumerate(nxt):
-        for c, t in row.items():
-            table[s, c] = t
-    return table
+    return nxt
 
 
-def _restarting(table: np.ndarray) -> np.ndarray:
-    """Missing transitions lead to where the root would go, negated; to the root itself if it goes nowhere."""
-    again = np.where(table[1] > 0, -table[1], -1)
-    return np.where(table > 0, table, again[None, :]).astype(np.int32)
+def model_of(samples: dict[str, str], dense_letters: int | None = None) -> Model:
+    """Automata of the samples, by label."""
+    most = DENSE_LETTERS if dense_letters is None else dense_letters
+    lower, labels = _alpha(), sorted(samples)
+    texts = [np.frombuffer(samples[k].encode("utf-32-le"), np.uint32) for k in labels]
+    letters = np.unique(np.concatenate([lower[t] for t in texts]))
+    letters = letters[letters > 0]
+    count = len(letters) + 2
+    code_of = np.full(0x110000, count - 1, np.int32)
+    code_of[0] = 0
+    code_of[letters] = np.arange(1, len(letters) + 1)
+    classes = code_of[lower]
+    local, width, bases = np.zeros((len(labels), count), np.int32), np.zeros(len(labels), np.int64), np.zeros(len(labels), np.int64)
+    tables, sparse, at = [np.zeros(0, np.int32)], {}, 0
+    for k, t in enumerate(texts):
+        code = classes[t]
+        code = code[(code != 0) | (np.r_[0, code[:-1]] != 0)]
+        nxt = suffix_automaton(code.tolist())
+        state = np.repeat(np.arange(len(nxt)), [len(x) for x in nxt])
+        by = np.fromiter((c for x in nxt for c in x), np.int64, len(state))
+        to = np.fromiter((c for x in nxt for c in x.values()), np.int64, len(state))
+        own = np.unique(np.r_[0, code])
+        if len(own) > most:
+            again = np.full(count, -1, np.int64)
+            again[by[state == 1]] = -to[state == 1]
+            sparse[k] = (Table(state * count + by, to.astype(np.int32)), again)
+            continue
+        w = len(own) + 1
+        local[k] = w - 1
+        local[k, own] = np.arange(len(own))
+        table = np.zeros((len(nxt), w), np.int32)
+        table[state, local[k, by]] = to
+        again = np.where(table[1] > 0, -table[1], -1)
+        tables.append(np.where(table > 0, table, again[None, :]).astype(np.int32).ravel())
+        width[k], bases[k] = w, at
+        at += table.size
+    return Model(labels, classes, count, local, width, np.concatenate(tables), bases, sparse)
 
 
 def encode(texts: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,45 +159,81 @@ def encode(texts: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def phrases(code: np.ndarray, offs: np.ndarray, model: Model) -> np.ndarray:
-    """Phrases of each row in each language."""
+    """Phrases of each row in each language; the last one of a row ends with it."""
     rows, langs = len(offs) - 1, len(model.labels)
     sizes = np.diff(offs)
     lanes = -(-sizes // SEGMENT)
     row = np.repeat(np.arange(rows), lanes)
     first = np.cumsum(lanes) - lanes
-    start = offs[:-1][row] + (np.arange(len(row)) - first[row]) * SEGMENT
+    number = np.arange(len(row)) - first[row]
+    start = offs[:-1][row] + number * SEGMENT
     size = np.minimum(start + SEGMENT, offs[1:][row]) - start
     order = np.argsort(-size, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    follower = np.full(len(order), -1)  # in order, the lane of the same row behind each
+    behind = np.flatnonzero(number > 0)
+    follower[place[behind - 1]] = place[behind]
     start, size, row = start[order], size[order], row[order]
-    state = np.ones((langs, len(row)), np.int64)
-    found = np.zeros((langs, len(row)), np.int32)
-    base = model.bases[:, None]
-    width = model.width
+    state, found = np.ones((langs, len(row)), np.int64), np.zeros((langs, len(row)), np.int32)
     active = np.searchsorted(-size, -np.arange(SEGMENT), side="left")  # lanes longer than j
+    dense = np.flatnonzero(model.width > 0)
+    base, width = model.bases[dense, None], model.width[dense, None]
+    states, counts = [], []
     for j in range(SEGMENT):
         n = int(active[j])
         if not n:
             break
-        at = state[:, :n] * width
-        at += code[start[:n] + j]
-        at += base
-        to = model.tables[at]
+        c = code[start[:n] + j]
+        to = np.empty((langs, n), np.int64)
+        if len(dense):
+            to[dense] = model.tables[state[dense, :n] * width + model.local[dense][:, c] + base]
+        for k in model.sparse:
+            to[k] = model.look_up(k, state[k, :n], c)
         found[:, :n] += to < 0
         state[:, :n] = np.abs(to)
+        states.append(state[:, :n].astype(np.int32))
+        counts.append(found[:, :n].astype(np.int16))
+    alone, real = found.copy(), state.copy()  # of a parse that begins with the lane; where the real one ends
+    lang, lane = (x.ravel() for x in np.meshgrid(np.arange(langs), np.flatnonzero(follower >= 0), indexing="ij"))
+    while len(lane):  # lanes whose real end has become known or changed: follow it into the next
+        now, lane = real[lang, lane], follower[lane]
+        live, seen, before = np.arange(len(lane)), np.zeros(len(lane), np.int64), real[lang, lane]
+        for j in range(SEGMENT):
+            k, at = lang[live], lane[live]
+            to = model.step(k, now[live], code[start[at] + j])
+            seen[live] += to < 0
+            now[live] = np.abs(to)
+            met = now[live] == states[j][k, at]
+            if met.any():
+                x = live[met]
+                found[lang[x], lane[x]] = seen[x] + alone[lang[x], lane[x]] - counts[j][lang[x], lane[x]]
+                real[lang[x], lane[x]] = state[lang[x], lane[x]]
+            over = ~met & (size[at] == j + 1)
+            if over.any():
+                x = live[over]
+                found[lang[x], lane[x]], real[lang[x], lane[x]] = seen[x], now[x]
+            live = live[~met & ~over]
+            if not len(live):
+                break
+        on = np.flatnonzero((real[lang, lane] != before) & (follower[lane] >= 0))
+        lang, lane = lang[on], lane[on]
     out = np.zeros((rows, langs), np.int64)
     for k in range(langs):
-        out[:, k] = np.bincount(row, found[k] + 1, rows)  # the phrase that the segment's end closes
-    return out
+        out[:, k] = np.bincount(row, found[k], rows)
+    return out + (sizes > 0)[:, None]
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample_chars: int = SAMPLE_CHARS) -> Model | None:
-    """Automata from a sample of at most sample_chars characters a label, of at most MOST_LANGUAGES labels (the largest).
+    """Automata from a sample of at most sample_chars characters a label; more than MOST_LANGUAGES labels are an error.
 
     Rows without label or text teach nothing; without any other, there is no model. The sample is
-    drawn by a hash of the text, so it doesn't depend on the order of rows.
+    drawn by a hash of the text, so it doesn't depend on the order of rows. An automaton takes about 500 bytes a character of its sample.
     """
-    known = docs.select(F.col(text).alias("t"), F.col(label).cast("string").alias("l")).filter("t is not null and l is not null and t != ''")
-    total = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.sum(F.length("t")).alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()}
+    known = docs.select(F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{label}`").cast("string").alias("l")).filter("t is not null and l is not null and t != ''")
+    total = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.sum(F.length("t")).alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES + 1).collect()}
+    if len(total) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels in {label}")
     if not total:
         return None
     sample: dict[str, list] = {k: [] for k in total}
@@ -162,32 +250,16 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample_chars:
                 sample[k] = sorted(set(got[k]))
                 open_.discard(k)
         factor *= 8
-    lower, labels = _alpha(), sorted(total)
-    texts = []
-    for k in labels:
+    texts = {}
+    for k, found in sample.items():
         joined, n = [], 0
-        for _, t in sample[k]:
+        for _, t in found:
             if n >= sample_chars:
                 break
             joined.append(t[: sample_chars - n])
             n += len(joined[-1])
-        texts.append(np.frombuffer(" ".join(joined).encode("utf-32-le"), np.uint32))
-    letters, counts = np.unique(np.concatenate([lower[t] for t in texts]), return_counts=True)
-    most = [int(c) for _, c in sorted(zip(-counts, letters, strict=True)) if c][:_LETTERS]
-    width = len(most) + 2
-    code_of = np.full(0x110000, width - 1, np.uint8)
-    code_of[0] = 0
-    code_of[most] = np.arange(1, len(most) + 1)
-    classes = code_of[lower]
-    tables, bases, at = [], [], 0
-    for t in texts:
-        code = classes[t]
-        keep = (code != 0) | (np.r_[0, code[:-1]] != 0)
-        table = _restarting(suffix_automaton(code[keep].tolist(), width)).ravel()
-        tables.append(table)
-        bases.append(at)
-        at += len(table)
-    return Model(labels, classes, width, np.concatenate(tables), np.array(bases, np.int64))
+        texts[k] = " ".join(joined)
+    return model_of(texts)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", columns: dict[str, str] | None = None, keep: list[str] | None = None, only_accepted: bool = False, reject_rate: float = REJECT_RATE) -> DataFrame:
@@ -199,7 +271,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", columns:
 
     A text that is NULL, empty or has no letter is rejected, as is one that no language parses in
     at most reject_rate phrases a unit, its last one aside. Ties go to the label that sorts first. Without a model
-    all rows are rejected. Rows are kept as often as they come; with only_accepted, rejected ones go.
+    all rows are rejected. Rows are kept as often as they come; with only_accepted, rejected ones go. Texts are parsed whole.
     """
     names = {k: k for k in ("predicted_lang", "n_units", "phrases", "phrase_rate", "margin", "rejected")} | (columns or {})
     kinds = {"predicted_lang": "string", "n_units": "bigint", "phrases": "bigint", "phrase_rate": "double", "margin": "double", "rejected": "boolean"}
@@ -214,7 +286,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", columns:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__wa_text"))
             parts = []
-            for a, b in slices(texts, 1 << 20):
+            for a, b in slices(texts, (1 << 22) // max(4, len(m.labels) if m else 0)):
                 n = b - a
                 if m is None:
                     parts.append((np.zeros((n, 1), np.int64), np.zeros(n, np.int64)))

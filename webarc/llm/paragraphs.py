@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, buffer_of, byte_classes, lead_points, mix, slices, words
-from .ngram_join import Unseen, _first_of_class, gram_sets, linked_sets, named_sets, set_hash
+from .ngram_join import Unseen, first_of_classes, first_of_sets, gram_sets, linked_sets, named_sets, set_hash
 
 MIN_WORDS = 15
 #: What short lines must have together to be a paragraph; sentences of one line need MIN_WORDS.
@@ -153,6 +153,7 @@ def tune(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_
 def banding(bands: int, rows: int):
     """A signer for jaccard_pairs: one signature for each band of MinHashes."""
     seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 >> 1))
+    masks, factors = (seeds >> np.uint64(32)).astype(np.uint32), seeds.astype(np.uint32) | np.uint32(1)
 
     def sign(n: int, threshold: float):
         def run(batches):
@@ -166,14 +167,16 @@ def banding(bands: int, rows: int):
                     if not len(g):
                         continue
                     heads = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                    keys = []
+                    keys, short = [], (g >> np.uint64(32)).astype(np.uint32)  # grams are mixed, so half of one is as good a hash
                     with np.errstate(over="ignore"):
                         for band in range(bands):
                             key = np.full(len(heads), band, np.uint64)
-                            for s in seeds[band * rows : (band + 1) * rows]:
-                                h = (g ^ s) * np.uint64(0xD6E8FEB86659FD93)
-                                h ^= h >> np.uint64(32)
-                                key = mix(key * np.uint64(31) + np.minimum.reduceat(h * np.uint64(0x9E3779B97F4A7C15), heads))
+                            for k in range(band * rows, (band + 1) * rows):
+                                h = short ^ masks[k]
+                                h *= factors[k]
+                                h ^= h >> np.uint32(15)
+                                h *= np.uint32(0x2C1B3C6D)
+                                key = mix(key * np.uint64(31) + np.minimum.reduceat(h, heads).astype(np.uint64))
                             keys.append(key)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ha[r[heads]], bands))], names=["sig", "ha"])
 
@@ -216,8 +219,9 @@ def duplicate_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id
     store = Stored(docs.sparkSession, "paragraphs")
     parts = store.write(split(docs, text, key, least, n).withColumn("id", F.monotonically_increasing_id()), "parts")
     named = parts.select("id", "__wa_key", "start", "stop", "ha")
-    linked = store.write(linked_sets(store, parts.select("id", "t"), named, n, threshold, False, banding(*tune(threshold, recall))), "linked")
-    first = _first_of_class(named, linked, ["__wa_key", "start", "id"]).filter("size > 1")
+    own = first_of_sets(store, named, ["__wa_key", "start", "id"])
+    linked = store.write(linked_sets(store, parts.select("id", "t"), own.select("ha", "own.id"), n, threshold, False, banding(*tune(threshold, recall))), "linked")
+    first = first_of_classes(own, linked).filter("size > 1")
     found = named.join(first.hint("merge"), "ha")
     return found.select(
         F.col("__wa_key").alias(key), "start", "stop", F.col("first.__wa_key").alias("kept_id"), F.col("first.start").alias("kept_start"), (F.col("id") != F.col("first.id")).alias("is_removed")
