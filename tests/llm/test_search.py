@@ -9,7 +9,7 @@ import pytest
 import regex
 
 from webarc.llm import ngram_join, paragraphs, suffix_dedup
-from webarc.llm.common import components
+from webarc.llm.common import components, distinct_per_row
 
 WORD = regex.compile(r"[\p{Han}\p{Thai}]|[^\W_\p{Han}\p{Thai}]+")
 
@@ -158,6 +158,14 @@ def test_ngram_chain(spark, words):
     assert {r[1] for r in got} == {0} and sum(r[2] for r in got) >= 0.97 * sum(r[2] for r in want)
 
 
+def test_sets_of_grams_that_begin_alike():
+    rng = np.random.default_rng(3)
+    row = np.sort(rng.integers(0, 40, 5000))
+    g = rng.integers(0, 9, 5000).astype(np.uint64) << np.uint64(60) | rng.integers(0, 5, 5000).astype(np.uint64)
+    got = list(zip(*(x.tolist() for x in distinct_per_row(g, row)), strict=True))
+    assert [(r, x) for x, r in got] == sorted(set(zip(row.tolist(), g.tolist(), strict=True)))
+
+
 def test_bands_cover_all_sizes():
     b = ngram_join.bands(0.7, 5000)
     assert b[0].low == 1 and all(x.high + 1 == y.low for x, y in zip(b, b[1:], strict=False))

@@ -272,17 +272,14 @@ def test_automaton_of_random_merges():
                 tokens.append(a + b)
         ids = {t: i for i, t in enumerate(tokens)}
         m = bpe.Automaton({i: t for t, i in ids.items()}, [(ids[a], ids[b], ids[a + b]) for a, b in merges])
-        for _ in range(100):
-            word = bytes(rng.choice(alphabet) for _ in range(rng.randint(1, 14)))
-            assert [m.labels[t] for t in m.encode_word(word)] == greedy(word, merges), (word, merges)
-
-
-def test_memories_change_nothing(monkeypatch):
-    text = " ".join(f"word{i} Mixed{i * 7}" for i in range(400))
-    path = os.path.join(bpe.FOLDER, bpe.VOCABULARY)
-    want = bpe.encoder(path).encode(text).tolist()
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
-    assert bpe.Encoder(bpe.Automaton.from_file(path)).encode(text).tolist() == want
+        own = [t for t in tokens if greedy(t, merges) == [t]]
+        for a in own:
+            for b in own:
+                assert m.arc(ids[a], ids[b]) == (greedy(a + b, merges) == [a, b]), (a, b, merges)
+        words = [bytes(rng.choice(alphabet) for _ in range(rng.randint(1, 14))) for _ in range(100)]
+        found, bounds = bpe.Encoder(m).encode_words(np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
+        for k, word in enumerate(words):
+            assert [m.labels[t] for t in found[bounds[k] : bounds[k + 1]].tolist()] == greedy(word, merges), (word, merges)
 
 
 def test_token_columns(spark, clashing):

@@ -1,17 +1,13 @@
 """Byte-pair encoding and decoding with a tokenization automaton (operator 5).
 
-The automaton accepts exactly the token sequences that the merges produce. It starts as one state that
-loops on the bytes; each merge (a, b) -> c is built in as a gadget: behind a, the arc on b
-goes; wherever a could start and b follow, an arc on c appears; behind c, the arcs are those behind b
-at that time. A state is thus named by its last token, and whether an arc exists is decided by the order of the
-gadgets: of the two tokens of an arc the later gadget decides, which leads back to an arc between its parts
-one gadget earlier. Automaton keeps the arcs that were asked for; no table of all arcs is compiled. The query runs
-Encoder, which keeps none: it takes the longest token of a byte trie of the vocabulary, backs up to shorter ones, and unwinds the
-merges anew for each pair of neighbours.
-
-By Automaton, a word is encoded from left to right. The state behind each prefix is unique: of the tokens that end there,
-found in a table of the vocabulary, the one whose arc leaves the state behind the rest. The path to
-the end gives the tokens; decoding emits the arcs' labels.
+The automaton reads tokens and accepts exactly the sequences that the merges produce. It starts as one state that loops on the bytes. Merge
+by merge, a gadget is built in: where a merge (a, b) -> c would have joined two neighbours, the arc between them goes, and c gets arcs like a's on the way in and
+like b's on the way out. So the state behind a token is told by its right edge (the tokens that end with it and until which merge they
+stood there), an arc's label by its left edge, and the gadget of (a, b) takes the arcs from all states whose edge shows a at that time on all labels whose
+edge shows b. States and labels with equal edges are one: the table of arcs has a bit for each of some 10,000 by 10,000 of them.
+
+A word is encoded by following all arcs that spell it, from left to right: as each prefix has one tokenization, one arc at most enters each place, and the
+path back from the end is the result. There is no search and no backing up. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -19,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +31,6 @@ FOLDER = os.environ.get("WEBARC_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
 #: Splits a text into words, each encoded on its own; every character belongs to one.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Arcs that encode_word remembers, at most twice so many; the memory is emptied when full. It changes no result.
-REMEMBERED = 120_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -54,11 +49,10 @@ class Automaton:
         self.by_bytes = {v: k for k, v in labels.items()}
         self.parts = {c: (a, b) for a, b, c in merges}
         self.born = {c: i + 1 for i, (_, _, c) in enumerate(merges)}
-        self.cut = {(a, b): i + 1 for i, (a, b, c) in enumerate(merges)}
         made = set(self.single.values()) | set(self.parts)
         self.by_bytes = {v: k for v, k in self.by_bytes.items() if k in made}  # special tokens have no arc
-        self.longest = max((len(v) for v in self.by_bytes), default=1)
-        self.table: dict[int, bool] = {}
+        self.merges, self.cut = merges, {(a, b): i + 1 for i, (a, b, _) in enumerate(merges)}
+        self._compile()
 
     @classmethod
     def from_file(cls, path: str) -> Automaton:
@@ -94,41 +88,80 @@ class Automaton:
                 merges.append((ranks[parts[0]], ranks[parts[1]], rank))
         return cls({v: k for k, v in ranks.items()}, merges)
 
-    def _follows(self, x: int, y: int, limit: int) -> bool:
-        """Whether the arc from x on y exists before the gadget of number limit is built in."""
-        born, parts, cut = self.born, self.parts, self.cut
-        while True:
-            if cut.get((x, y), limit) < limit:
-                return False
-            bx, by = born.get(x, 0), born.get(y, 0)
-            if not bx and not by:
-                return True
-            limit = max(bx, by)
-            if by > bx:
-                y, rest = parts[y]
-                if x == y == rest:  # of three equal tokens, the first two merge
-                    return False
-            elif bx > by:
-                x = parts[x][1]
-            else:  # a token behind itself
-                x, y = parts[x][1], parts[y][0]
+    def _edges(self, side: int) -> tuple[dict[int, int], list[dict[int, int]]]:
+        """By token its class, and by class its edge: how many of each edge token's merges (in order, those with it on this side) come while it shows.
+
+        side 1: right edges, with the token on a merge's left; side 0: left edges. The token itself shows to the end, a part of it until the part's merge.
+        A left edge shows one merge longer if that is the part's own: of three equal tokens, the first two merge.
+        """
+        times: dict[int, list[int]] = {}
+        for i, m in enumerate(self.merges):
+            times.setdefault(m[1 - side], []).append(i + 1)
+        of, edges, known = {}, [], {}
+        for t in [*self.single.values(), *self.parts]:
+            edge, x, until = {}, t, 1 << 60
+            while True:
+                if x in times:
+                    n = bisect_right(times[x], until) if not side and self.cut.get((x, x)) == until else bisect_left(times[x], until)
+                    if n:
+                        edge[x] = n
+                if x not in self.parts:
+                    break
+                x, until = self.parts[x][side], self.born[x]
+            key = tuple(sorted(edge.items()))
+            if key not in known:
+                known[key] = len(edges)
+                edges.append(edge)
+            of[t] = known[key]
+        return of, edges
+
+    def _compile(self) -> None:
+        """The classes of states and labels, and the table of arcs that gadgets took (a bit each)."""
+        self.state_of, states = self._edges(1)
+        self.label_of, labels = self._edges(0)
+        by_left: dict[int, list[int]] = {}
+        by_right: dict[int, list[int]] = {}
+        for i, (a, b, _) in enumerate(self.merges):
+            by_left.setdefault(a, []).append(i)
+            by_right.setdefault(b, []).append(i)
+        width = -(-len(labels) // 8)
+        shows: list[list[int]] = [[] for _ in self.merges]  # the labels whose edge shows a merge's right token at that time
+        for k, edge in enumerate(labels):
+            for x, n in edge.items():
+                for i in by_right[x][:n]:
+                    shows[i].append(k)
+        gone = np.zeros((len(states) + 1, width), np.uint8)  # the last state is that before a word
+        held: list[list[int]] = [[] for _ in self.merges]
+        for k, edge in enumerate(states):
+            for x, n in edge.items():
+                for i in by_left[x][:n]:
+                    held[i].append(k)
+        for rows, columns in zip(held, shows, strict=True):  # gadget by gadget
+            if rows and columns:
+                bits = np.zeros(8 * width, np.uint8)
+                bits[columns] = 1
+                bits = np.packbits(bits)
+                some = np.flatnonzero(bits)
+                if len(some) * 8 < width:
+                    gone[np.array(rows)[:, None], some] |= bits[some]
+                else:
+                    gone[rows] |= bits
+        self.gone = gone
 
     def arc(self, a: int, b: int) -> bool:
-        """Whether b can follow a once all gadgets are in."""
-        key = a << 24 | b
-        known = self.table.get(key)
-        if known is None:
-            if len(self.table) > 2 * REMEMBERED:
-                self.table.clear()
-            known = self.table[key] = self._follows(a, b, 1 << 60)
-        return known
-
-    def _build(self) -> None:
-        """The table of token beginnings (state << 8 | byte -> state), the token of each state, and the next shorter token that begins a token."""
-        self.goto, self.token_at, self.shorter = {}, [-1], {}
-        goto, token_at = self.goto, self.token_at
+        """Whether b can follow a."""
+        k = self.label_of[b]
+        return not self.gone[self.state_of[a], k >> 3] >> (7 - (k & 7)) & 1
+
+    def trie(self) -> tuple[dict[int, int], list[int]]:
+        """The table of token beginnings (state << 8 | byte -> state) and the token of each state, of all tokens that are made of their bytes."""
+        own: dict[int, bool] = {t: True for t in self.single.values()}
+        for _, _, c in self.merges:
+            x, y = self.parts[c]
+            own[c] = own.get(x, False) and own.get(y, False) and self._met(x, y, self.born[c])
+        goto, token_at = {}, [-1]
         for label, token in self.by_bytes.items():
-            if not self._is_own(token):
+            if not own.get(token):
                 continue
             state = 0
             for x in label:
@@ -139,59 +172,25 @@ class Automaton:
                     token_at.append(-1)
                 state = nxt
             token_at[state] = token
-        for label, token in self.by_bytes.items():
-            if self._is_own(token):
-                state, best = 0, -1
-                for x in label[:-1]:
-                    state = goto[state << 8 | x]
-                    if token_at[state] >= 0:
-                        best = token_at[state]
-                self.shorter[token] = best
-        self.length = {t: len(v) for v, t in self.by_bytes.items()}
-
-    def encode_word(self, word: bytes) -> list[int]:
-        """The one path of the automaton that spells the word: longest tokens are tried first, and places with no way to the end are remembered."""
-        if not hasattr(self, "goto"):
-            self._build()
-        goto, token_at, shorter, length, table, arc = self.goto, self.token_at, self.shorter, self.length, self.table, self.arc
-        n, at, out, dead = len(word), 0, [], set()
-        while at < n:
-            state, token = 0, -1
-            for k in range(at, n):
-                state = goto.get(state << 8 | word[k])
-                if state is None:
-                    break
-                if token_at[state] >= 0:
-                    token = token_at[state]
-            while True:
-                end = at + length[token]
-                if end not in dead:
-                    if not out:
-                        break
-                    key = out[-1] << 24 | token
-                    known = table.get(key)
-                    if known or (known is None and arc(out[-1], token)):
-                        break
-                token = shorter[token]
-                while token < 0:  # no way from here: back to the token before, and on with a shorter one
-                    dead.add(at)
-                    token = out.pop()
-                    at -= length[token]
-                    token = shorter[token]
-            out.append(token)
-            at += length[token]
-        return out
-
-    def _is_own(self, token: int) -> bool:
-        """Whether a token's own bytes are encoded as that token, which the arc between its parts before its gadget tells."""
-        known = self.table.get(-1 - token)
-        if known is None:
-            known = True
-            if token in self.parts:
-                x, y = self.parts[token]
-                known = self._follows(x, y, self.born[token]) and self._is_own(x) and self._is_own(y)
-            self.table[-1 - token] = known
-        return known
+        return goto, token_at
+
+    def _met(self, x: int, y: int, limit: int) -> bool:
+        """Whether the arc from x on y was there before the gadget of number limit was built in."""
+        while True:
+            if self.cut.get((x, y), limit) < limit:
+                return False
+            bx, by = self.born.get(x, 0), self.born.get(y, 0)
+            if not bx and not by:
+                return True
+            limit = max(bx, by)
+            if by > bx:
+                y, rest = self.parts[y]
+                if x == y == rest:
+                    return False
+            elif bx > by:
+                x = self.parts[x][1]
+            else:
+                x, y = self.parts[x][1], self.parts[y][0]
 
     def decode(self, tokens) -> str:
         labels = self.labels
@@ -209,95 +208,65 @@ class Encoder:
     """The automaton as arrays: small to ship, and run over all words of many texts at once."""
 
     def __init__(self, automaton: Automaton):
-        automaton._build()
+        goto, token_at = automaton.trie()
         most = max(automaton.labels, default=-1) + 1
         ordered = [automaton.labels.get(i, b"") for i in range(most)]
         self.sizes = np.array([len(x) for x in ordered], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(ordered), np.uint8)
-        self.goto = Table(np.fromiter(automaton.goto, np.int64, len(automaton.goto)), np.fromiter(automaton.goto.values(), np.int32, len(automaton.goto)))
-        self.token_at = np.array(automaton.token_at, np.int32)
-        self.shorter, self.born, self.left, self.right = (np.full(most, x, np.int64) for x in (-1, 0, -1, -1))
-        for t, u in automaton.shorter.items():
-            self.shorter[t] = u
-        for c, n in automaton.born.items():
-            self.born[c] = n
-            self.left[c], self.right[c] = automaton.parts[c]
-        pairs = automaton.cut
-        self.cut = Table(np.array([a << 24 | b for a, b in pairs], np.int64), np.array(list(pairs.values()), np.int32))
-
-    def follows(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Automaton.arc for many pairs."""
-        x, y, out = x.copy(), y.copy(), np.ones(len(x), bool)
-        live, limit = np.arange(len(x)), np.full(len(x), 1 << 40)
-        while len(live):
-            a, b = x[live], y[live]
-            cut = self.cut.get(a << 24 | b)
-            gone = (cut >= 0) & (cut < limit[live])
-            ba, bb = self.born[a], self.born[b]
-            later, both = bb > ba, bb >= ba
-            gone |= later & (a == self.left[b]) & (a == self.right[b])
-            out[live[gone]] = False
-            go = ~gone & ((ba > 0) | (bb > 0))
-            limit[live] = np.maximum(ba, bb)
-            y[live] = np.where(both & go, self.left[b], b)
-            x[live] = np.where(~later & go, self.right[a], a)
-            live = live[go]
-        return out
+        self.goto = Table(np.fromiter(goto, np.int64, len(goto)), np.fromiter(goto.values(), np.int32, len(goto)))
+        self.token_at = np.array(token_at, np.int32)
+        self.state_of, self.label_of = np.zeros(most + 1, np.int64), np.zeros(most, np.int64)
+        self.state_of[-1] = len(automaton.gone) - 1
+        for t, k in automaton.state_of.items():
+            self.state_of[t], self.label_of[t] = k, automaton.label_of[t]
+        self.width, self.gone = automaton.gone.shape[1], automaton.gone.ravel()
+
+    def arcs(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether each token can follow the last one; -1 stands for the beginning of a word."""
+        label = self.label_of[token]
+        return self.gone[self.state_of[last] * self.width + (label >> 3)] >> (7 - (label & 7)).astype(np.uint8) & 1 == 0
 
     def encode_words(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all words, one behind the other, and where each word's begin; no word is empty. Automaton.encode_word for many words."""
-        n = len(offs) - 1
+        """Tokens of all words, one behind the other, and where each word's begin; no word is empty."""
         stop = np.repeat(offs[1:], np.diff(offs))
-        longest, state, live = np.full(len(raw), -1, np.int64), np.zeros(len(raw), np.int64), np.arange(len(raw))
-        step = 0
+        within = np.arange(len(raw)) - np.repeat(offs[:-1], np.diff(offs))
+        state, live, step = np.zeros(len(raw), np.int64), np.arange(len(raw)), 0
+        at, tokens = [], []  # every token that the bytes spell from each place
         while len(live):
-            to = self.goto.get(state[live] << 8 | raw[live + step])
-            live, to = live[to >= 0], to[to >= 0]
-            state[live] = to
-            token = self.token_at[to]
-            longest[live[token >= 0]] = token[token >= 0]
+            to = self.goto.get(state << 8 | raw[live + step])
+            there = to >= 0
+            live, state = live[there], to[there].astype(np.int64)
+            token = self.token_at[state]
+            full = token >= 0
+            at.append(live[full])
+            tokens.append(token[full])
             step += 1
-            live = live[live + step < stop[live]]
-        # A word's stack is where its tokens begin: the token that begins at a byte is kept there.
-        taken, before = np.full(len(raw), -1, np.int64), np.full(len(raw), -1, np.int64)
-        dead = np.zeros(len(raw) + 1, bool)
-        word, at = np.arange(n), offs[:-1].copy()
-        token, end = longest[at] if n else at, offs[1:]
-        while len(word):
-            none = token < 0
-            if none.any():  # no way from here: back to the token before, and on with a shorter one
-                dead[at[none]] = True
-                at[none] = before[at[none]]
-                token[none] = self.shorter[taken[at[none]]]
-                if (token < 0).any():
-                    continue
-            last = before[at]
-            behind = at + self.sizes[token]
-            ok = ~dead[behind] | (behind == end[word])
-            ask = np.flatnonzero(ok & (last >= 0))
-            if len(ask):
-                ok[ask] = self.follows(taken[last[ask]], token[ask])
-            taken[at[ok]] = token[ok]
-            token[~ok] = self.shorter[token[~ok]]
-            moved = np.flatnonzero(ok)
-            goes = behind[moved] < end[word[moved]]
-            on = moved[goes]
-            before[behind[on]] = at[on]
-            at[on], token[on] = behind[on], longest[behind[on]]
-            keep = np.ones(len(word), bool)
-            keep[moved[~goes]] = False
-            before_end = moved[~goes]
-            taken[at[before_end]] = token[before_end]
-            word, at, token = word[keep], at[keep], token[keep]
-        begins, place = np.zeros(len(raw) + 1, bool), offs[:-1].copy()
-        left = np.arange(n)
+            there = live + step < stop[live]
+            live, state = live[there], state[there]
+        at, tokens = np.concatenate([*at, np.zeros(0, np.int64)]), np.concatenate([*tokens, np.zeros(0, np.int32)]).astype(np.int64)
+        order = np.argsort(within[at], kind="stable")
+        at, tokens = at[order], tokens[order]
+        bounds = np.r_[0, np.cumsum(np.bincount(within[at]))] if len(at) else np.zeros(1, np.int64)
+        last = np.full(len(raw) + 1, -1, np.int64)  # by place, the token of the arc that enters it; a word's first place has none
+        ends = np.full(len(raw) + 1, -1, np.int64)
+        for k in range(len(bounds) - 1):
+            a, t = at[bounds[k] : bounds[k + 1]], tokens[bounds[k] : bounds[k + 1]]
+            follows = self.arcs(last[a] if k else np.full(len(a), -1), t)
+            a, t = a[follows], t[follows]
+            behind = a + self.sizes[t]
+            inner = behind < stop[a]
+            last[behind[inner]] = t[inner]
+            ends[behind[~inner]] = t[~inner]  # a word's end is the next word's first place
+        taken, place, left = np.full(len(raw), -1, np.int32), offs[1:].copy(), np.arange(len(offs) - 1)
+        token = ends[place]
         while len(left):
-            begins[place[left]] = True
-            place[left] += self.sizes[taken[place[left]]]
-            left = left[place[left] < offs[1:][left]]
-        found = np.flatnonzero(begins)
-        return taken[found].astype(np.int32), np.searchsorted(found, offs)
+            place[left] -= self.sizes[token[left]]
+            taken[place[left]] = token[left]
+            left = left[place[left] > offs[:-1][left]]
+            token[left] = last[place[left]]
+        found = np.flatnonzero(taken >= 0)
+        return taken[found], np.searchsorted(found, offs)
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts, one behind the other, and how many each has. A text that comes up again and again costs its runs once.

@@ -66,6 +66,10 @@ class Stored:
     def drop(self, name: str) -> None:
         _delete(self.spark, f"{self.root}/{name}")
 
+    def tidy(self) -> None:
+        """Lets the cluster delete shuffle files behind tables that are stored: that waits for the driver's garbage collection, which a driver with little to do seldom does."""
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def keep_small_side(small: DataFrame, rows: int, limit: int) -> DataFrame:
     """Marks a side for broadcasting only if its counted rows are within the limit; else a shuffle joins it."""
@@ -263,13 +267,20 @@ def grams(h: np.ndarray, row: np.ndarray, n: int, short: bool = True) -> tuple[n
 
 
 def distinct_per_row(g: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The set of grams of each row, sorted by row, then by gram."""
+    """The set of grams of each row, sorted by row, then by gram; rows come in order."""
     if not len(g):
         return g, row
-    order = np.lexsort((g, row))
-    g, row = g[order], row[order]
-    new = np.r_[True, (g[1:] != g[:-1]) | (row[1:] != row[:-1])]
-    return g[new], row[new]
+    bits = int(row[-1] - row[0]).bit_length()
+    order = np.argsort((row - row[0]).astype(np.uint64) << np.uint64(64 - bits) | g >> np.uint64(bits) if bits else g)
+    a, r = g[order], row[order]
+    if len(a) > 1 and (falls := (a[1:] < a[:-1]) & (r[1:] == r[:-1])).any():  # grams that begin with the same bits
+        near = np.zeros(len(a), bool)
+        near[1:] |= falls
+        for i in np.flatnonzero(near).tolist():
+            lo, hi = np.searchsorted(r, [r[i], r[i] + 1])
+            a[lo:hi] = np.sort(a[lo:hi])
+    new = np.r_[True, (a[1:] != a[:-1]) | (r[1:] != r[:-1])]
+    return a[new], r[new]
 
 
 class Table:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, buffer_of, byte_classes, lead_points, mix, slices, words
-from .ngram_join import Unseen, first_of_classes, first_of_sets, gram_sets, linked_sets, named_sets, set_hash
+from .ngram_join import Unseen, first_of_classes, gram_sets, linked_sets, named_sets, set_hash
 
 MIN_WORDS = 15
 #: What short lines must have together to be a paragraph; sentences of one line need MIN_WORDS.
@@ -219,8 +219,7 @@ def duplicate_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id
     store = Stored(docs.sparkSession, "paragraphs")
     parts = store.write(split(docs, text, key, least, n).withColumn("id", F.monotonically_increasing_id()), "parts")
     named = parts.select("id", "__wa_key", "start", "stop", "ha")
-    own = first_of_sets(store, named, ["__wa_key", "start", "id"])
-    linked = store.write(linked_sets(store, parts.select("id", "t"), own.select("ha", "own.id"), n, threshold, False, banding(*tune(threshold, recall))), "linked")
+    own, linked = linked_sets(store, parts.select("id", "t"), named, ["__wa_key", "start", "id"], n, threshold, False, banding(*tune(threshold, recall)))
     first = first_of_classes(own, linked).filter("size > 1")
     found = named.join(first.hint("merge"), "ha")
     return found.select(
