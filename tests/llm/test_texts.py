@@ -358,6 +358,19 @@ def test_mixture(spark, words, clashing):
     assert mixing.mixture(table(spark, [])).collect() == [] and mixing.mix_documents(table(spark, [])).collect() == []
 
 
+def test_documents_lie_in_the_order_of_the_mixture(spark, words, tmp_path):
+    rng = random.Random(9)
+    docs = table(spark, [(i, words(rng.randint(1, 60), seed=i), "en", rng.choice("aaaab")) for i in range(400)])
+    want = [r.doc_id for r in mixing.mixture(docs, block_tokens=500).orderBy("block", "sort_key", "epoch").collect()]
+    mixed = mixing.mix_documents(docs, block_tokens=500)
+    assert mixed.rdd.getNumPartitions() == 4 and [r.doc_id for r in mixed.collect()] == want
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    import pyarrow.dataset as ds
+
+    files = sorted(ds.dataset(f"{tmp_path}/mixed").files)
+    assert [i for f in files for i in ds.dataset(f).to_table(columns=["doc_id"]).column(0).to_pylist()] == want
+
+
 # ---- personal data ------------------------------------------------------------------------------
 
 PERSONAL = [

@@ -44,10 +44,16 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Arrow batches of 8 MB instead of Spark's 64, if the session hasn't said otherwise: each is held several times, in the JVM and in the worker, and texts can be long."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    """Settings that the session hasn't made otherwise.
+
+    Arrow batches of 8 MB instead of Spark's 64: each is held several times, in the JVM and in the worker, and texts can be long. Shuffle
+    files go when the query that made them has ended, not when the driver happens to collect its garbage.
+    """
+    key, tidy = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     if spark.conf.get(key, None) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(key, "8m")
+    if spark.conf.get(tidy, None) is None:
+        spark.conf.set(tidy, "true")
     return spark
 
 
@@ -66,10 +72,6 @@ class Stored:
     def drop(self, name: str) -> None:
         _delete(self.spark, f"{self.root}/{name}")
 
-    def tidy(self) -> None:
-        """Lets the cluster delete shuffle files behind tables that are stored: that waits for the driver's garbage collection, which a driver with little to do seldom does."""
-        self.spark.sparkContext._jvm.System.gc()
-
 
 def keep_small_side(small: DataFrame, rows: int, limit: int) -> DataFrame:
     """Marks a side for broadcasting only if its counted rows are within the limit; else a shuffle joins it."""

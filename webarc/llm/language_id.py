@@ -178,7 +178,7 @@ def phrases(code: np.ndarray, offs: np.ndarray, model: Model) -> np.ndarray:
     state, found = np.ones((langs, len(row)), np.int64), np.zeros((langs, len(row)), np.int32)
     active = np.searchsorted(-size, -np.arange(SEGMENT), side="left")  # lanes longer than j
     dense = np.flatnonzero(model.width > 0)
-    base, width = model.bases[dense, None], model.width[dense, None]
+    base, width, local = model.bases[dense, None], model.width[dense, None], np.ascontiguousarray(model.local[dense].T)
     states, counts = [], []
     for j in range(SEGMENT):
         n = int(active[j])
@@ -187,7 +187,7 @@ def phrases(code: np.ndarray, offs: np.ndarray, model: Model) -> np.ndarray:
         c = code[start[:n] + j]
         to = np.empty((langs, n), np.int64)
         if len(dense):
-            to[dense] = model.tables[state[dense, :n] * width + model.local[dense][:, c] + base]
+            to[dense] = model.tables[state[dense, :n] * width + local[c].T + base]
         for k in model.sparse:
             to[k] = model.look_up(k, state[k, :n], c)
         found[:, :n] += to < 0

@@ -6,7 +6,7 @@ budget is realised as epochs: each epoch is a permutation of the source's docume
 cut where the budget ends. The stream is laid out in blocks that each hold every source in its weight.
 
 Permutations come from a hash, and places in them from prefix sums in two steps (over hash buckets,
-then inside a bucket), so no source, however large, passes through one task, and no text is shuffled.
+then inside a bucket), so no source, however large, passes through one task. Only mix_documents, which lays the texts themselves out, shuffles them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_small_side
+from .common import Stored, keep_small_side
 
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 1_000_000
@@ -112,6 +112,22 @@ def _shares(spark: SparkSession, sizes: DataFrame, **limits) -> tuple[list[Share
     return shares, keep_small_side(table, len(shares), BROADCAST_SOURCES)
 
 
+def _uses(docs: DataFrame, text: str, key: str, source: str, block_tokens: int, **limits) -> tuple[DataFrame, int]:
+    """(k, id, source, epoch, block, weight, sort_key), a row for each use of a document, id being a hash of key and text; and the number of blocks."""
+    k, s, t = F.col(f"`{key}`"), F.col(f"`{source}`"), F.col(f"`{text}`")
+    sizes = docs.select(k.alias("k"), F.xxhash64(k, t).alias("id"), s.alias("source"), _name(s).alias("s"), F.coalesce(F.regexp_count(t, F.lit(TOKEN)), F.lit(0)).cast("bigint").alias("n"))
+    shares, table = _shares(docs.sparkSession, sizes, **limits)
+    blocks = max(1, math.ceil(sum(x.quota for x in shares) / block_tokens))
+    uses = sizes.join(table, "s").withColumn("epoch", F.explode(F.expr("sequence(0, full)"))).filter("epoch < full or rest > 0")
+    uses = uses.withColumn("h", _order(F.col("k"), F.col("epoch"))).withColumn("bucket", F.substring("h", 1, 3))
+    cell = ["s", "epoch", "bucket"]
+    sums = uses.groupBy(*cell).agg(F.sum("n").alias("b")).withColumn("before", F.sum("b").over(Window.partitionBy("s", "epoch").orderBy("bucket")) - F.col("b")).drop("b")
+    placed = uses.join(sums.hint("shuffle_hash"), cell).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*cell).orderBy("h")))
+    taken = placed.filter("epoch < full or upto <= rest")
+    at = F.expr(f"cast((epoch * total + upto - n) as decimal(38,0)) * {blocks} div greatest(quota, 1)")
+    return taken.select("k", "id", "source", "epoch", F.least(at, F.lit(blocks - 1)).cast("bigint").alias("block"), "weight", F.substring("h", 1, 16).alias("sort_key")), blocks
+
+
 def mixture(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", block_tokens: int = BLOCK_TOKENS, **limits) -> DataFrame:
     """(key, source, epoch, block, weight, sort_key): a row for each use of a document.
 
@@ -121,35 +137,26 @@ def mixture(docs: DataFrame, text: str = "text", key: str = "doc_id", source: st
     end of the budget are taken together or not at all. An empty table gives an empty result. A
     column of the input is only read if named.
     """
-    spark = docs.sparkSession
-    k, s = F.col(f"`{key}`"), F.col(f"`{source}`")
-    sizes = docs.select(k.alias("k"), s.alias("source"), _name(s).alias("s"), F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(TOKEN)), F.lit(0)).cast("bigint").alias("n"))
-    shares, table = _shares(spark, sizes, **limits)
-    blocks = max(1, math.ceil(sum(x.quota for x in shares) / block_tokens))
-    uses = sizes.join(table, "s").withColumn("epoch", F.explode(F.expr("sequence(0, full)"))).filter("epoch < full or rest > 0")
-    uses = uses.withColumn("h", _order(F.col("k"), F.col("epoch"))).withColumn("bucket", F.substring("h", 1, 3))
-    cell = ["s", "epoch", "bucket"]
-    sums = uses.groupBy(*cell).agg(F.sum("n").alias("b")).withColumn("before", F.sum("b").over(Window.partitionBy("s", "epoch").orderBy("bucket")) - F.col("b")).drop("b")
-    placed = uses.join(sums.hint("shuffle_hash"), cell).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*cell).orderBy("h")))
-    taken = placed.filter("epoch < full or upto <= rest")
-    at = F.expr(f"cast((epoch * total + upto - n) as decimal(38,0)) * {blocks} div greatest(quota, 1)")
-    return taken.select(F.col("k").alias(key), F.col("source").alias(source), "epoch", F.least(at, F.lit(blocks - 1)).cast("bigint").alias("block"), "weight", F.substring("h", 1, 16).alias("sort_key"))
-
-
-def mix_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **limits) -> DataFrame:
-    """The rows of docs, each as often as mixture() uses it, with their columns as they are (names starting in __wa_ are reserved)."""
-    spark = docs.sparkSession
-    k, s = F.col(f"`{key}`"), F.col(f"`{source}`")
-    used = mixture(docs, text, key, source, **limits)
-    sizes = docs.select(_name(s).alias("s"), F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(TOKEN)), F.lit(0)).cast("bigint").alias("n"))
-    shares, table = _shares(spark, sizes, **limits)
-    last = used.select(_name(s).alias("s"), "epoch", _order(k, F.col("epoch")).alias("h")).join(table, "s").filter("epoch = full").groupBy("s").agg(F.max("h").alias("cut"))
-    last = {r["s"]: r["cut"] for r in last.collect()}
-    ends = spark.createDataFrame([(x.source, x.full, last.get(x.source)) for x in shares], "__wa_s string, __wa_full bigint, __wa_cut string")
-    named = docs.withColumn("__wa_s", _name(s)).join(keep_small_side(ends, len(shares), BROADCAST_SOURCES), "__wa_s")
-    times = F.col("__wa_full") + F.when(_order(k, F.col("__wa_full")) <= F.col("__wa_cut"), 1).otherwise(0)
-    copied = named.withColumn("__wa_times", times).filter("__wa_times > 0").withColumn("__wa_use", F.explode(F.expr("sequence(1, __wa_times)")))
-    return copied.select(*[F.col(f"`{c}`") for c in docs.columns])
+    uses, _ = _uses(docs, text, key, source, block_tokens, **limits)
+    return uses.select(F.col("k").alias(key), F.col("source").alias(source), "epoch", "block", "weight", "sort_key")
+
+
+def mix_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", block_tokens: int = BLOCK_TOKENS, **limits) -> DataFrame:
+    """The rows of docs, each as often as mixture() uses it, in the order of the mixture: each partition holds successive blocks, sorted by block and permutation.
+
+    Columns stay as they are; names that begin with __wa_ are reserved. Written to files, the blocks lie in them one behind the other. NULLs, empty texts and tables
+    are as in mixture(); rows that repeat both id and text all stand where the first of them does. Rows get their places by a join on a
+    hash of id and text, and are moved once more to the partition of their block; no task holds a source or sorts more than its blocks.
+    """
+    store = Stored(docs.sparkSession, "mixing")
+    uses, blocks = _uses(docs, text, key, source, block_tokens, **limits)
+    once = uses.groupBy("id", "epoch").agg(F.min(F.struct("block", "sort_key")).alias("at"))
+    places = store.write(once.groupBy("id").agg(F.collect_list(F.struct("at.block", "at.sort_key", "epoch")).alias("__wa_at")), "places")
+    placed = docs.withColumn("__wa_id", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))).join(places.withColumnRenamed("id", "__wa_id").hint("merge"), "__wa_id")
+    spread = placed.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("__wa_at").alias("__wa_at"))
+    parts = max(1, min(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    laid = spread.repartitionById(parts, F.expr(f"cast(cast(__wa_at.block as decimal(38,0)) * {parts} div {blocks} as int)")).sortWithinPartitions("__wa_at.block", "__wa_at.sort_key", "__wa_at.epoch")
+    return laid.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 MIXTURE_SQL = rf"""
