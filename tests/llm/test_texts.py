@@ -239,6 +239,23 @@ def test_tokens_match_the_public_encoder(name):
         assert e.decode(got) == t
 
 
+def test_words_are_cut_as_the_pattern_says():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    pieces = ["a", "É", "漢", "1", "½", " ", "  ", "\n", "\t", "\u3000", "'", "'s", "'ll", "'re", "'T", "!", "_", "-", "🙂", "ve", "l", "s", "\x00"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    raw, offs = bpe.buffer_of(pa.array(texts))
+    starts = bpe.split_words(raw, offs).tolist()
+    at = 0
+    for k, t in enumerate(texts):
+        want, here = regex.findall(bpe.SPLIT, t), [x for x in starts if offs[k] <= x < offs[k + 1]] if k < 300 else None
+        begins = (offs[k] + np.cumsum([0, *(len(w.encode()) for w in want)])[:-1]).tolist() if want else []
+        assert starts[at : at + len(want)] == begins and (here is None or here == begins), t
+        at += len(want)
+    assert at == len(starts)
+
+
 def greedy(word, merges):
     """Merges by rank, pair by pair, as the vocabulary defines them."""
     parts = [bytes([b]) for b in word]
@@ -282,6 +299,23 @@ def test_automaton_of_random_merges():
             assert [m.labels[t] for t in found[bounds[k] : bounds[k + 1]].tolist()] == greedy(word, merges), (word, merges)
 
 
+def test_known_words_change_nothing(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([r[0] for r in duckdb.sql(f"select text from '{SF}/documents.parquet'").fetchall()])
+    e = bpe.encoder(os.path.join(bpe.FOLDER, bpe.VOCABULARY))
+    want = [e.encode(t).tolist() for t in texts.to_pylist()]
+    for most in (1 << 18, 5000, 0):
+        monkeypatch.setattr(bpe, "REMEMBERED", most)
+        known = bpe.Known()
+        for k in range(0, len(texts), 9):
+            ids, sizes = e.encode_many(texts.slice(k, 9), known)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want[k : k + 9]
+    known.hashes, known.at, known.size, known.tokens = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.ones(1, np.int64), np.array([5], np.int32)
+    known.look_up = lambda h: (np.ones(len(h), bool), np.zeros(len(h), np.int64), np.ones(len(h), np.int64))  # as if all words had one hash
+    assert e.encode_many(texts.slice(0, 9), known)[0].tolist() == [x for w in want[:9] for x in w]
+
+
 def test_token_columns(spark, clashing):
     docs = clashing(EDGE)
     got = bpe.tokenize(docs)

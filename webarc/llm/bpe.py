@@ -14,22 +14,21 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, buffer_of, slices, small_batches
+from .common import Table, _powers, buffer_of, byte_classes, mix, slices, small_batches
 
 #: Folder of the public tokenizer files and the one that the queries use; both can be given.
 FOLDER = os.environ.get("WEBARC_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
-#: Splits a text into words, each encoded on its own; every character belongs to one.
+#: Words that a task keeps the tokens of.
+REMEMBERED = 1 << 18
+#: Splits a text into words, each encoded on its own; every character belongs to one. split_words says the same for arrays.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -204,6 +203,68 @@ def _rows(values: np.ndarray, offs: np.ndarray, take: np.ndarray) -> tuple[np.nd
     return values[np.repeat(offs[:-1][take], size) + within], size
 
 
+def _spans(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values of spans, one behind the other."""
+    upto = np.cumsum(size)
+    return values[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(start - upto + size, size)]
+
+
+class Known:
+    """Words that a task has encoded, by hash, REMEMBERED and a batch's at most; then it begins anew. It changes no result."""
+
+    def __init__(self):
+        self.hashes, self.at, self.size, self.tokens = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each is there, and where its tokens are."""
+        if not len(self.hashes):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return self.hashes[k] == h, self.at[k], self.size[k]
+
+    def add(self, h: np.ndarray, at: np.ndarray, size: np.ndarray, tokens: np.ndarray) -> None:
+        if len(self.hashes) + len(h) > REMEMBERED:
+            self.__init__()
+            return
+        place = np.searchsorted(self.hashes, h)
+        self.hashes, self.at, self.size, self.tokens = np.insert(self.hashes, place, h), np.insert(self.at, place, at), np.insert(self.size, place, size), tokens
+
+
+_CONTRACTED = [*b"sdmt"], [(x[0], x[1]) for x in (b"ll", b"ve", b"re")]
+
+
+def split_words(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where the words begin that SPLIT cuts texts into, for the bytes of many texts at once. Every byte belongs to a word, and none to two texts' words."""
+    n = len(raw)
+    kind = byte_classes(raw, "split")  # 1 letters, 2 numbers, 3 white space, 4 others
+    edge = np.zeros(n + 1, bool)
+    edge[offs] = edge[n] = True
+    begin = np.zeros(n + 1, bool)
+    begin[:-1] = edge[:-1]
+    begin[1:n] |= kind[1:] != kind[:-1]
+    start = np.flatnonzero(begin[:n])
+    end = np.r_[start[1:], n]
+    of = kind[start] if len(start) else np.zeros(0, np.uint8)
+    blank = np.flatnonzero((of == 3) & ~edge[end])  # white space with a word behind it: its last character stands alone or leads the word
+    last = end[blank] - 1
+    for _ in range(3):
+        last -= (raw[last] & 0xC0) == 0x80
+    begin[last] = True
+    begin[end[blank][raw[last] == 0x20]] = False
+    quote = np.flatnonzero((of == 4) & (end - start == 1) & ~edge[end] & begin[start])
+    quote = quote[(raw[start[quote]] == 0x27) & (of[quote + 1] == 1)] if len(quote) else quote
+    if len(quote):
+        at, stop = end[quote], end[quote + 1]
+        a, b = raw[at], np.where(at + 1 < stop, raw[np.minimum(at + 1, n - 1)], 0)
+        one = np.isin(a, _CONTRACTED[0])
+        two = ~one & np.any([(a == x) & (b == y) for x, y in _CONTRACTED[1]], axis=0)
+        for some, size in ((one, 1), (two, 2)):
+            begin[at[some]] = False
+            rest = at[some] + size
+            begin[rest[rest < stop[some]]] = True
+    return np.flatnonzero(begin[:n])
+
+
 class Encoder:
     """The automaton as arrays: small to ship, and run over all words of many texts at once."""
 
@@ -268,43 +329,40 @@ class Encoder:
         found = np.flatnonzero(taken >= 0)
         return taken[found], np.searchsorted(found, offs)
 
-    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts, one behind the other, and how many each has. A text that comes up again and again costs its runs once.
+    def encode_many(self, texts: pa.Array, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts, one behind the other, and how many each has. A word that comes again, or is known from other texts, isn't encoded again.
 
-        No word spans the place before a blank, so a text falls apart there into runs, if a word begins behind each blank.
+        Words are told apart by their hashes. As one tokenization spells a word, tokens that spell the texts are the right ones; if they don't, every word is encoded.
         """
-        split, loose = regex.compile(SPLIT).findall, re.compile(r" (?:\s|\Z)").search
-        runs: dict[str, int] = {}
-        words: list[str] = []
-        count: list[int] = []  # of words in each piece; a piece is a first run or a whole text, or one of runs
-        pieces, of_text = [], []
-        for t in texts:
-            first, *rest = [t] if loose(t) else t.split(" ")
-            found = split(first)
-            words += found
-            count.append(len(found))
-            pieces.append([runs.setdefault(r, len(runs)) for r in rest])
-        if runs:
-            behind = split(" " + " ".join(runs))
-            words += behind
-        listed = pa.array(words, pa.large_string()).dictionary_encode()
-        raw, offs = buffer_of(listed.dictionary)
-        tokens, begins = self.encode_words(raw, offs)
-        which = np.asarray(listed.indices, np.int64)
-        if runs:
-            heads = np.flatnonzero(np.fromiter((w[0] == " " for w in behind), np.bool_, len(behind))) + sum(count)
-            bounds = np.r_[np.cumsum([0, *count]), heads[1:], len(words)]
-        else:
-            bounds = np.cumsum([0, *count])
-        of_text = np.concatenate([np.r_[i, np.array(p, np.int64) + len(texts)] for i, p in enumerate(pieces)]) if texts else np.zeros(0, np.int64)
-        order, per_piece = _rows(which, bounds, of_text.astype(np.int64))
-        out, per_word = _rows(tokens, begins, order)
-        text_of = np.repeat(np.arange(len(texts)), [1 + len(p) for p in pieces])
-        sizes = np.bincount(np.repeat(text_of, per_piece), per_word, len(texts)).astype(np.int64) if len(order) else np.zeros(len(texts), np.int64)
-        return out, sizes
+        raw, offs = buffer_of(texts)
+        start = split_words(raw, offs)
+        bounds = np.r_[start, len(raw)]
+        p, inv = _powers(len(raw) + 1)
+        with np.errstate(over="ignore"):
+            total = np.r_[np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: len(raw)])]
+            h = mix((total[bounds[1:]] - total[start]) * inv[start] + np.diff(bounds).astype(np.uint64))
+        known = Known() if known is None else known
+        order = np.argsort(h)
+        sorted_h = h[order]
+        new = np.r_[True, sorted_h[1:] != sorted_h[:-1]] if len(h) else np.zeros(0, bool)
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(new) - 1
+        found, at, size = known.look_up(sorted_h[new])
+        own, lengths = _rows(raw, bounds, order[new][~found])
+        tokens, begins = self.encode_words(own, np.r_[0, np.cumsum(lengths)])
+        at[~found], size[~found] = begins[:-1] + len(known.tokens), np.diff(begins)
+        pool = np.r_[known.tokens, tokens]
+        out = _spans(pool, at[which], size[which])
+        known.add(sorted_h[new][~found], at[~found], size[~found], pool)
+        per_word = size[which]
+        if not np.array_equal(self.labels(out), raw):
+            out, begins = self.encode_words(raw, bounds)
+            per_word = np.diff(begins)
+        row = np.searchsorted(offs, start, side="right") - 1
+        return out, np.bincount(row, per_word, len(texts)).astype(np.int64) if len(start) else np.zeros(len(texts), np.int64)
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_many([text])[0]
+        return self.encode_many(pa.array([text]))[0]
 
     def labels(self, ids: np.ndarray) -> np.ndarray:
         """The labels' bytes, one after another."""
@@ -352,13 +410,13 @@ def tokenize(docs: DataFrame, text: str = "text", path: str | None = None, keep:
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in given] + [f"`{k}` {v}" for k, v in new.items()])
 
     def run(batches):
-        e = shipped.value
+        e, known = shipped.value, Known()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("__wa_text"))
-            for a, b in slices(column, 1 << 20):
+            for a, b in slices(column, 1 << 19):
                 texts = column.slice(a, b - a)
                 missing = np.asarray(texts.is_null())
-                values, sizes = e.encode_many(pc.fill_null(texts, "").to_pylist())
+                values, sizes = e.encode_many(texts, known)
                 offs = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), mask=np.r_[missing, False])
                 arrays = [pa.ListArray.from_arrays(offs, pa.array(values)), pa.array(sizes, mask=missing)]
                 if check:

@@ -44,16 +44,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Settings that the session hasn't made otherwise.
-
-    Arrow batches of 8 MB instead of Spark's 64: each is held several times, in the JVM and in the worker, and texts can be long. Shuffle
-    files go when the query that made them has ended, not when the driver happens to collect its garbage.
-    """
-    key, tidy = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    """Arrow batches of 8 MB instead of Spark's 64, if the session hasn't said otherwise: each is held several times, in the JVM and in the worker, and texts can be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(key, "8m")
-    if spark.conf.get(tidy, None) is None:
-        spark.conf.set(tidy, "true")
     return spark
 
 
@@ -66,7 +60,13 @@ class Stored:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(tidy, None)
+        self.spark.conf.set(tidy, "true")  # shuffle files go once the table is there, not when the driver happens to collect its garbage
+        try:
+            df.write.mode("overwrite").options(compression="zstd", **{"parquet.writer.version": "PARQUET_2_0"}).parquet(path)
+        finally:
+            self.spark.conf.unset(tidy) if before is None else self.spark.conf.set(tidy, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -121,15 +121,17 @@ def _word_pattern(script: str, letters: str = "LNM") -> str:
 WORD_SQL, WORD_JAVA = _word_pattern(""), _word_pattern("Is")
 #: What stands between words.
 BLANK_SQL = r"[^\p{L}\p{N}\p{M}" + "".join(rf"\p{{{x}}}" for x in _SCRIPTS) + "]+"
+#: Classes of characters, later ones first: words and words of one character; what is visible; letters, numbers, white space and the rest.
+_KINDS = {"word": {1: r"[\p{L}\p{N}\p{M}]+", 2: "[" + "".join(rf"\p{{{x}}}" for x in _SCRIPTS) + "]+"}, "visible": {1: r"\S+"}, "split": {4: r"(?s:.+)", 1: r"\p{L}+", 2: r"\p{N}+", 3: r"\s+"}}
 _CLASSES: dict[str, np.ndarray] = {}
 
 
 def _class_table(what: str) -> np.ndarray:
-    """By code point: 0 for what parts words, 1 for a part of a word, 2 for a word of its own."""
+    """By code point, its class."""
     if what not in _CLASSES:
         table = np.zeros(0x110000, np.uint8)
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for pattern, value in ((r"[\p{L}\p{N}\p{M}]+", 1), ("[" + "".join(rf"\p{{{x}}}" for x in _SCRIPTS) + "]+", 2)) if what == "word" else ((r"\S+", 1),):
+        for value, pattern in _KINDS[what].items():
             for m in regex.finditer(pattern, every):
                 a, b = (x + 0x800 * (x >= 0xD800) for x in m.span())
                 table[a:b] = value
