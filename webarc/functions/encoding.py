@@ -152,7 +152,7 @@ class EncodingDetector:
                 wrong += 2 * len(re.findall(r"[A-Za-z][^\W\d_A-Za-z]|[^\W\d_A-Za-z][A-Za-z]|[а-я][А-Я]", text))
             worth = max(sum(1 - 0.5 * letters.index(c) / len(letters) for c in text if c in letters) for letters in sets)
             score = (worth - wrong) / high
-            if score > most:
+            if score > most + (0.15 if name in _LATIN and best else 0):  # Western letters have their places in the other Latin sets too
                 best, most = name, score
         return best
 

@@ -15,6 +15,7 @@ from ..sources.shared import shared_folder
 from ..sources.text import read_text
 from ..sources.warc import read_all_warcs, read_warcs, register
 from ..streaming.archives import hourly_types, stream_warcs
+from . import page_queries, record_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: How many files the round-trip queries write.
@@ -279,7 +280,7 @@ def queries() -> dict[str, Query]:
     def ready(f: Query) -> Query:
         return lambda spark, sf_dir: f(prepare(spark), sf_dir)
 
-    return {k: ready(f) for k, f in (_WARC | {f.__name__: f for f in _NAMES}).items()}
+    return {k: ready(f) for k, f in (_WARC | {f.__name__: f for f in [*_NAMES, *record_queries.QUERIES, *page_queries.QUERIES]}).items()}
 
 
 _PAGE = "SELECT url AS target_uri, octet_length(encode(html)) AS n, page_id, html FROM pages"
@@ -343,4 +344,4 @@ SELECT lang, n, round(pr, 9) AS precision, round(re, 9) AS recall, round(coalesc
     out["text_lines"] = "SELECT md5(line) AS line_md5, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY ALL"
     out["bulk_ids"] = "SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer"
     out["bulk_actions"] = """SELECT 'index' AS op_type, 'nations' AS "index", CAST(n_nationkey AS VARCHAR) AS id, '{"n_name":' || to_json(n_name) || ',"n_regionkey":' || n_regionkey || '}' AS doc FROM nation"""
-    return out
+    return out | record_queries.oracle_sql() | page_queries.oracle_sql()
