@@ -569,3 +569,44 @@ def test_pipeline_stages_on_edges(spark, clashing):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.collect() == []
+
+
+def test_pipeline_by_brute_force(spark, words, tmp_path):
+    """Every stage's rows, told from the rows of the stage before by slow means."""
+    from test_search import by_brute_force
+    from tokenizers import Tokenizer
+
+    rng, rows = random.Random(21), []
+    for i in range(60):
+        base = words(rng.randint(15, 120), seed=i)
+        near = base.split()
+        near[rng.randrange(len(near))] = "other"
+        rows += [(base, rng.choice("aab"))] + [(base, rng.choice("ab"))] * (i % 3) + [(" ".join(near), "b")] * (i % 4 == 0)
+    rows += [("12 34 !!", "a"), ("", "a"), (None, "b"), ("漢字" * 20, "c")]
+    rng.shuffle(rows)
+    rows = [(k, t, "en" if t and t.isascii() else "zh", s, len(t or "")) for k, (t, s) in enumerate(rows)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    found, docs = [], spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        found.append(Counter(tuple(r)[:5] for r in docs.collect()))
+    left = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    assert found[0] == Counter(left)
+    left = [r for r in left if r[0] == min(x[0] for x in left if x[1] == r[1])]
+    assert found[1] == Counter(left)
+    left = [r for r, (k, c, _) in zip(left, by_brute_force([(r[0], r[1]) for r in left]), strict=True) if k == c]
+    assert found[2] == Counter(left)
+    totals = Counter()
+    for r in left:
+        totals[r[3]] += len(r[1].split())
+    for share in mixing.plan(sorted((f"={s}", n) for s, n in totals.items())):
+        own = [r for r in left if f"={r[3]}" == share.source]
+        used = {r: found[3][r] for r in own}
+        assert set(used.values()) <= {share.full, share.full + 1}
+        extra = sum(len(r[1].split()) for r in own if used[r] > share.full)
+        assert extra <= share.rest and extra + max(len(r[1].split()) for r in own) >= share.rest
+    assert set(found[3]) == set(left) and found[4] == found[3]
+    t = Tokenizer.from_file(os.path.join(bpe.FOLDER, bpe.VOCABULARY))
+    for r in docs.select("text", "tokens", "n_tokens", "round_trip").collect():
+        assert list(r.tokens) == t.encode(r.text, add_special_tokens=False).ids and r.n_tokens == len(r.tokens) and r.round_trip

@@ -246,3 +246,35 @@ def test_splits_of():
 def test_empty_archive(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"")
     assert read_warcs(spark, str(tmp_path)).agg(F.count("*").alias("n")).first().n == 0
+
+
+def test_where_says_the_same_as_a_filter(spark, tmp_path):
+    write_file(tmp_path / "a.warc.gz", [warc("request", b"a" * 10, n=1), warc(body=b"b" * 1000, n=2), warc("metadata", b"c" * 70, http=False, n=3)], "gzip")
+    every = read_warcs(spark, str(tmp_path), ["record_id", "record_type", "stream_pos", "content_length", "block_length"])
+    rows = every.collect()
+    for where, same in (
+        ({"record_type": "request"}, lambda r: r.record_type == "request"), ({"record_type": ["request", "metadata"]}, lambda r: r.record_type != "response"), ({"stream_pos": rows[1].stream_pos}, lambda r: r.stream_pos == rows[1].stream_pos),
+        ({"content_length": (50, 500)}, lambda r: 50 <= r.content_length <= 500), ({"block_length": (500, None)}, lambda r: r.block_length >= 500),
+    ):
+        got = read_warcs(spark, str(tmp_path), ["record_id"], where).collect()
+        assert {r.record_id for r in got} == {r.record_id for r in rows if same(r)}
+    with pytest.raises(ValueError):
+        read_warcs(spark, str(tmp_path), where={"target_uri": "x"})
+
+
+def test_all_files_in_splits_and_written_by_uri(spark, tmp_path):
+    """Paths in a column, large files read by many tasks, a folder named by a URI, and what isn't there."""
+    register(spark)
+    rows = [("resource", f"u:{i}", False, bytes([65 + i % 26]) * 900) for i in range(300)]
+    df = spark.createDataFrame(rows, "record_type string, target_uri string, is_http boolean, payload binary").coalesce(1)
+    for codec in ("gzip", "lz4"):
+        df.write.format("warc").option("compression", codec).mode("append").save(f"file://{tmp_path}/out")
+    df.limit(3).write.format("warc").option("compression", "zstd").mode("overwrite").save(f"file://{tmp_path}/again")
+    df.limit(5).write.format("warc").option("compression", "zstd").mode("overwrite").save(f"file://{tmp_path}/again")
+    assert read_warcs(spark, f"{tmp_path}/again", ["target_uri"]).count() == 5
+    names = sorted(str(p) for p in (tmp_path / "out").iterdir())
+    assert len(names) == 2 and not any("/_" in n for n in names)
+    files = spark.createDataFrame([(n,) for n in names] + [(None,), (str(tmp_path / "none.warc.gz"),)], "path string")
+    got = read_all_warcs(files, columns=["path", "target_uri", "payload", "corrupt_reason"], split_size=2000, tasks=5).collect()
+    assert sorted((r.path, r.target_uri, bytes(r.payload)) for r in got if r.target_uri) == sorted((n, u, p) for n in names for _, u, _, p in rows)
+    assert [r.path for r in got if r.corrupt_reason] == [str(tmp_path / "none.warc.gz")]

@@ -9,7 +9,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions import html, lang
+from .functions import encoding, html, lang
 from .operators import archive, lang_jobs
 from .sources.warc import extract_record, read_warcs, register
 
@@ -69,7 +69,7 @@ def run(spark: SparkSession, a: argparse.Namespace, out=sys.stdout) -> int:
         if a.command == "benchmark":
             n = read_warcs(spark, a.source, ["stream_pos"]).count()
         else:
-            pages = read_warcs(spark, a.source, ["payload"], recordTypes="response").select(F.decode("payload", "UTF-8").alias("h"))
+            pages = read_warcs(spark, a.source, ["payload", "http_charset"], recordTypes="response", autoDecode="all").select(encoding.decoded("payload", encoding.encoding_label("http_charset")).alias("h"))
             n = pages.select(html.html_title("h").alias("t")).agg(F.count("t")).first()[0]
         t = time.perf_counter() - start
         print(f"{n} records in {t:.2f} s, {n / t:.0f} a second", file=out)

@@ -156,6 +156,32 @@ def analyze_page(page: Column | str, parts: list[str]) -> Column:
     return F.when(_c(page).isNotNull(), run(_c(page)))
 
 
+_SELECTED = {
+    "text": ("string", lambda d, css: None if (n := d.query_selector(css)) is None else n.text),
+    "texts": ("array<string>", lambda d, css: [n.text for n in d.query_selector_all(css)]),
+    "html": ("string", lambda d, css: None if (n := d.query_selector(css)) is None else n.html),
+    "attr": ("string", lambda d, css, name: None if (n := d.query_selector(css)) is None else n.getattr(name)),
+    "attrs": ("array<string>", lambda d, css, name: [n.attrs[name] for n in d.query_selector_all(css) if name in n.attrs]),
+    "count": ("int", lambda d, css: len(d.query_selector_all(css))),
+    "matches": ("boolean", lambda d, css: d.query_selector(css) is not None),
+}
+
+
+def select_page(page: Column | str, wanted: dict[str, tuple[str, ...]]) -> Column:
+    """STRUCT of selections by name, from one parse: (kind, selector) or, for attr and attrs, (kind, selector, attribute). Kinds: text, texts, html, attr, attrs, count, matches; as the functions of these names."""
+    for kind, css, *_ in wanted.values():
+        if kind not in _SELECTED:
+            raise ValueError(f"unknown kind {kind}")
+        compile_selector(css)
+
+    @F.pandas_udf("struct<" + ",".join(f"`{k}`:{_SELECTED[w[0]][0]}" for k, w in wanted.items()) + ">")
+    def run(s: pd.Series) -> pd.DataFrame:
+        trees = [None if h is None else parse(h).document for h in s]
+        return pd.DataFrame({k: pd.Series([None if t is None else _SELECTED[w[0]][1](t, *w[1:]) for t in trees], dtype=object) for k, w in wanted.items()})
+
+    return F.when(_c(page).isNotNull(), run(_c(page)))
+
+
 @F.udtf(returnType="node_id int, parent_id int, depth int, pos int, type string, tag string, attrs map<string,string>, text string")
 class HtmlNodes:
     """The nodes of a page as rows, in document order; parent_id and pos rebuild the tree."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, buffer_of, byte_classes, lead_points, mix, slices, words
-from .ngram_join import Unseen, first_of_classes, gram_sets, linked_sets, named_sets, set_hash
+from .ngram_join import Unseen, first_of_classes, gram_sets, linked_sets, named_sets, sent, set_hash
 
 MIN_WORDS = 15
 #: What short lines must have together to be a paragraph; sentences of one line need MIN_WORDS.
@@ -178,7 +178,7 @@ def banding(bands: int, rows: int):
                                 h *= np.uint32(0x2C1B3C6D)
                                 key = mix(key * np.uint64(31) + np.minimum.reduceat(h, heads).astype(np.uint64))
                             keys.append(key)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ha[r[heads]], bands))], names=["sig", "ha"])
+                    yield sent(np.tile(ha[r[heads]], bands), np.concatenate(keys))
 
         return run
 

@@ -50,7 +50,7 @@ def cdxj(records: DataFrame, fields: tuple[str, ...] = INDEX_FIELDS, sizes: Data
             out = out.withColumn("__wa_length", F.col("record_length"))
         else:
             after = F.lead("stream_pos").over(Window.partitionBy("path").orderBy("stream_pos"))
-            out = out.join(F.broadcast(sizes.select("path", F.col("size").alias("__wa_size"))) if sizes is not None else records.sparkSession.createDataFrame([], "path string, __wa_size bigint"), "path", "left")
+            out = out.join(sizes.select("path", F.col("size").alias("__wa_size")) if sizes is not None else records.sparkSession.createDataFrame([], "path string, __wa_size bigint"), "path", "left")
             out = out.withColumn("__wa_length", F.coalesce(after, F.col("__wa_size")) - F.col("stream_pos"))
     return out.select("path", F.col("stream_pos").alias("offset"), F.to_json(F.struct(*[_field(f).alias(f) for f in fields])).alias("line"))
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.lang import BINS, text_vector
+from ..functions.lang import BINS, text_vectors
 
 
 @F.pandas_udf(StringType())
@@ -32,10 +34,23 @@ def create_dataset(texts: DataFrame, text: str = "text", lang: str = "lang", lea
 
 
 def train_profiles(texts: DataFrame, text: str = "text", lang: str = "lang", bins: int = BINS) -> DataFrame:
-    """(lang, profile): the whole mean of the vectors of a language's texts. Vectors are summed bin by bin before the shuffle."""
-    vectors = texts.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), text_vector(text, bins).alias("v"))
-    sums = vectors.groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(F.col("v")[i]).alias(f"b{i}") for i in range(bins)])
-    return sums.select("lang", F.array(*[F.least(F.expr(f"b{i} div n"), F.lit(255)).cast("int") for i in range(bins)]).alias("profile"))
+    """(lang, profile): the whole mean of the vectors of a language's texts. A task sends one sum of vectors a language. Rows without text or language teach nothing."""
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            labels = batch.column(0).dictionary_encode()
+            vectors, of = text_vectors(batch.column(1).to_pylist(), bins), np.asarray(labels.indices)
+            for k, name in enumerate(labels.dictionary.to_pylist()):
+                mine = vectors[of == k]
+                n, total = sums.get(name, (0, np.zeros(bins, np.int64)))
+                sums[name] = (n + len(mine), total + mine.sum(0, dtype=np.int64))
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "n": pa.array([n for n, _ in sums.values()], pa.int64()), "sums": pa.array([t.tolist() for _, t in sums.values()], pa.list_(pa.int64()))})
+
+    known = texts.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("t")).filter("lang is not null and t is not null")
+    each = known.mapInArrow(run, "lang string, n bigint, sums array<bigint>").select("lang", "n", F.posexplode("sums").alias("bin", "s"))
+    whole = each.groupBy("lang", "bin").agg(F.least(F.expr("sum(s) div sum(n)"), F.lit(255)).cast("int").alias("v"))
+    return whole.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "v"))), lambda x: x["v"]).alias("profile"))
 
 
 def load_profiles(profiles: DataFrame, order: DataFrame | None = None) -> dict[str, list[int]]:

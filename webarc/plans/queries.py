@@ -26,12 +26,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as HTTP responses, a minute apart."""
+def _records(spark: SparkSession, sf_dir: str, body="html") -> DataFrame:
+    """Pages (or what body makes of them) as HTTP responses, a minute apart."""
     date = F.timestamp_seconds(F.lit(1704067200) + 60 * F.col("page_id"))
     head = F.array(F.struct(F.lit("Content-Type").alias("key"), F.lit("text/html; charset=UTF-8").alias("value")), F.struct(F.lit("X-Page").alias("key"), F.col("page_id").cast("string").alias("value")))
     return _table(spark, sf_dir, "pages").select(
-        F.lit("response").alias("record_type"), F.lit(True).alias("is_http"), F.col("url").alias("target_uri"), date.alias("record_date"), F.lit("HTTP/1.1 200 OK").alias("http_status_line"), head.alias("http_headers"), F.encode("html", "UTF-8").alias("payload")
+        F.lit("response").alias("record_type"), F.lit(True).alias("is_http"), F.col("url").alias("target_uri"), date.alias("record_date"), F.lit("HTTP/1.1 200 OK").alias("http_status_line"), head.alias("http_headers"), F.encode(body, "UTF-8").alias("payload")
     )
 
 
@@ -185,10 +185,9 @@ def page_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select(
-        "page_id", html.html_count("html", "nav > ul > li > a").alias("n_nav"), html.html_text("html", "div.ad").alias("ad"), html.html_attr("html", "meta[charset]", "charset").alias("charset"), html.html_matches("html", "article h1").alias("has_h1"),
-        html.html_attr("html", "nav a:first-child", "href").alias("first_href"),
-    )
+    """Five selections from one parse."""
+    wanted = {"n_nav": ("count", "nav > ul > li > a"), "ad": ("text", "div.ad"), "charset": ("attr", "meta[charset]", "charset"), "has_h1": ("matches", "article h1"), "first_href": ("attr", "nav a:first-child", "href")}
+    return _pages(spark, sf_dir).select("page_id", html.select_page("html", wanted).alias("x")).select("page_id", "x.*")
 
 
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,6 +291,30 @@ _HREFS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
 _BASE32 = "translate(to_base(CAST('0x' || {} AS BIGINT), 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
 
 
+#: Vectors of the documents (v by row and bin), and profiles of the languages (p by language and bin), as functions.lang makes them.
+_VECTORS = r"""
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, text, length(text) AS size FROM documents),
+kept AS MATERIALIZED (
+  SELECT r, regexp_replace(regexp_replace(text, '[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), '[^\p{L} ]', '', 'g') AS s
+  FROM d WHERE text IS NOT NULL),
+letter AS (SELECT r, unnest(cs) AS x, generate_subscripts(cs, 1) AS i FROM (SELECT r, string_split(s, '') AS cs FROM kept WHERE s != '')),
+gram AS (
+  SELECT r, unicode(x) AS a, unicode(lead(x, 1) OVER o) AS b, unicode(lead(x, 2) OVER o) AS c, unicode(lead(x, 3) OVER o) AS e, unicode(lead(x, 4) OVER o) AS f
+  FROM letter WINDOW o AS (PARTITION BY r ORDER BY i)),
+h1 AS (SELECT *, (xor(2166136261, CAST(a AS BIGINT)) * 16777619) & 4294967295 AS p1 FROM gram),
+h2 AS (SELECT *, (xor(p1, CAST(b AS BIGINT)) * 16777619) & 4294967295 AS p2 FROM h1),
+h3 AS (SELECT *, (xor(p2, CAST(c AS BIGINT)) * 16777619) & 4294967295 AS p3 FROM h2),
+h4 AS (SELECT *, (xor(p3, CAST(e AS BIGINT)) * 16777619) & 4294967295 AS p4 FROM h3),
+h5 AS (SELECT *, (xor(p4, CAST(f AS BIGINT)) * 16777619) & 4294967295 AS p5 FROM h4),
+hashed AS (SELECT r, unnest([p1, p2, p3, p4, p5]) AS h FROM h5),
+counted AS (SELECT r, xor(h >> 8, h) & 255 AS bin, count(*) AS n FROM hashed WHERE h IS NOT NULL GROUP BY ALL),
+v AS MATERIALIZED (SELECT r, bin, least(255, n * 256 // length(s)) AS v FROM counted JOIN kept USING (r)),
+bins AS (SELECT unnest(range(256)) AS bin),
+many AS (SELECT lang, count(*) AS n FROM d WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang),
+added AS (SELECT lang, bin, sum(v) AS t FROM v JOIN d USING (r) GROUP BY ALL),
+p AS MATERIALIZED (SELECT many.lang, bins.bin, CAST(coalesce(t, 0) // many.n AS INT) AS p FROM many CROSS JOIN bins LEFT JOIN added ON added.lang = many.lang AND added.bin = bins.bin)"""
+
+
 def oracle_sql() -> dict[str, str]:
     group = lambda i: _BASE32.format(f"substr(h, {10 * i + 1}, 10)")
     out = {k: _ROUND_TRIP for k in _WARC} | {"hourly_records": _HOURLY, "streamed_records": _HOURLY}
@@ -341,6 +364,13 @@ l AS (SELECT t AS lang FROM p UNION SELECT p FROM p),
 c AS (SELECT lang, (SELECT count(*) FROM p WHERE t = lang) AS n, (SELECT count(*) FROM p WHERE p.p = lang) AS said, (SELECT count(*) FROM p WHERE t = lang AND p.p = lang) AS ok FROM l WHERE lang IS NOT NULL),
 r AS (SELECT lang, n, coalesce(ok / nullif(said, 0), 0) AS pr, coalesce(ok / nullif(n, 0), 0) AS re FROM c)
 SELECT lang, n, round(pr, 9) AS precision, round(re, 9) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 9) AS f1 FROM r"""
+    out["language_profiles"] = f"WITH {_VECTORS} SELECT lang, array_to_string(list(p ORDER BY bin), ',') AS profile FROM p GROUP BY lang"
+    out["language_detection"] = f"""WITH {_VECTORS},
+place AS (SELECT lang AS l, row_number() OVER (ORDER BY lang) - 1 AS k FROM many),
+far AS (SELECT r, p.lang AS l, sum(abs(coalesce(v.v, 0) - p.p)) AS away FROM d CROSS JOIN p LEFT JOIN v USING (r, bin) WHERE text IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT r, l, k, away + CASE WHEN away > 500 AND size < 150 THEN least(50, 3 * k) ELSE 0 END AS rank FROM far JOIN place USING (l) JOIN d USING (r)),
+best AS (SELECT r, l, rank FROM ranked WHERE rank <= 1200 QUALIFY row_number() OVER (PARTITION BY r ORDER BY rank, k) = 1)
+SELECT doc_id, lang, CASE WHEN text IS NOT NULL THEN coalesce(l, 'unknown') END AS predicted, CAST(CASE WHEN text IS NOT NULL THEN coalesce(rank, 0) END AS INT) AS rank FROM d LEFT JOIN best USING (r)"""
     out["text_lines"] = "SELECT md5(line) AS line_md5, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY ALL"
     out["bulk_ids"] = "SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer"
     out["bulk_actions"] = """SELECT 'index' AS op_type, 'nations' AS "index", CAST(n_nationkey AS VARCHAR) AS id, '{"n_name":' || to_json(n_name) || ',"n_regionkey":' || n_regionkey || '}' AS doc FROM nation"""

@@ -54,6 +54,27 @@ def open_file(path: str) -> BinaryIO:
     return fs.open_input_file(p)
 
 
+class Folder:
+    """A folder to write files into, on this machine's file system or on one named by a URI (as pyarrow.fs knows them)."""
+
+    def __init__(self, path: str):
+        local = _local(path)
+        self.fs, self.root = (pafs.LocalFileSystem(), os.path.abspath(local)) if local is not None else pafs.FileSystem.from_uri(path)
+
+    def open(self, name: str) -> BinaryIO:
+        self.fs.create_dir(self.root, recursive=True)
+        return self.fs.open_output_stream(f"{self.root}/{name}", compression=None, buffer_size=1 << 20)
+
+    def rename(self, name: str, new: str) -> None:
+        self.fs.move(f"{self.root}/{name}", f"{self.root}/{new}")
+
+    def names(self) -> set[str]:
+        return {i.base_name for i in self.fs.get_file_info(pafs.FileSelector(self.root, allow_not_found=True)) if i.type == pafs.FileType.File}
+
+    def delete(self, name: str) -> None:
+        self.fs.delete_file(f"{self.root}/{name}")
+
+
 def match_files(spark: SparkSession, pattern: str, empty: str = ALLOW_IF_WILDCARD, shuffle: int | None = None) -> DataFrame:
     """(path, size). No match is an error, but where empty allows it; shuffle spreads the rows over so many partitions."""
     found = list_files(pattern)

@@ -16,6 +16,8 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir; below a temporary one of this machine only where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="webarc_files_"))
             atexit.register(shutil.rmtree, _OWN[0], True)

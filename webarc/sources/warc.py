@@ -12,7 +12,6 @@ from Spark's planner: in 4.1 a relation keeps what one query pushed down, and ot
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from .. import prepare
 from .codecs import Buffered, codec_of_name, compress, dictionary_frame, members, next_member, sniff
-from .files import _local, list_files, open_file, splits_of
+from .files import Folder, list_files, open_file, splits_of
 from .records import ANY_TYPE, RECORD_TYPES, Record, Scan, content_charset, first, new_record_id, parse_date, parse_http_date, record_bytes, status_parts
 
 PAIRS = "array<struct<key:string,value:string>>"
@@ -237,9 +236,7 @@ class WarcWriter(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.options = {k.lower(): v for k, v in options.items()}
         self.codec = self.options.get("compression", "gzip")
-        self.folder = _local(self.options["path"])
-        if self.folder is None:
-            raise ValueError("the writer needs a folder that all executors share")
+        self.folder = self.options["path"]
         self.overwrite, self.run = overwrite, uuid.uuid4().hex[:8]
         self.checksum = _flag(self.options, "checksumdata", True)
 
@@ -249,21 +246,21 @@ class WarcWriter(DataSourceWriter):
         ending = {"gzip": ".warc.gz", "zstd": ".warc.zst", "lz4": ".warc.lz4", "brotli": ".warc.br", "none": ".warc"}[self.codec]
         task = TaskContext.get()
         name = f"part-{task.partitionId():05d}-{self.run}{ending}"
-        os.makedirs(self.folder, exist_ok=True)
-        temporary = os.path.join(self.folder, f"_{name}.{task.taskAttemptId()}")
+        temporary = f"_{name}.{task.taskAttemptId()}"
+        folder = Folder(self.folder)
         level = int(self.options["level"]) if "level" in self.options else None
         dictionary = bytes.fromhex(self.options["dictionaryhex"]) if self.options.get("dictionaryhex") else None
         n = size = 0
-        with open(temporary, "wb") as out:
+        with folder.open(temporary) as out:
             if dictionary and self.codec == "zstd":
                 size += out.write(dictionary_frame(dictionary))
             for row in iterator:
                 size += out.write(compress(self.encode(row.asDict(), f"{name}:{n}"), self.codec, level, dictionary))
                 n += 1
         if not n:
-            os.remove(temporary)
+            folder.delete(temporary)
             return Wrote(None, None, 0, 0)
-        return Wrote(os.path.join(self.folder, name), temporary, n, size)
+        return Wrote(name, temporary, n, size)
 
     def encode(self, row: dict, seed: str) -> bytes:
         headers = [(h["key"], h["value"]) for h in row.get("headers") or []]
@@ -284,19 +281,21 @@ class WarcWriter(DataSourceWriter):
         return record_bytes(row.get("warc_version") or "WARC/1.1", made + headers, bytes(row.get("payload") or b""), line, [(h["key"], h["value"]) for h in http or []], None if raw is None else bytes(raw), self.checksum)
 
     def commit(self, messages):
-        keep = {m.path for m in messages if m and m.path}
-        if self.overwrite and os.path.isdir(self.folder):
-            for n in os.listdir(self.folder):
-                if n.startswith("part-") and os.path.join(self.folder, n) not in keep:
-                    os.remove(os.path.join(self.folder, n))
+        folder, keep = Folder(self.folder), {m.path for m in messages if m and m.path}
+        if self.overwrite:
+            for n in folder.names():
+                if n.startswith("part-") and n not in keep:
+                    folder.delete(n)
         for m in messages:
             if m and m.path:
-                os.replace(m.temporary, m.path)
+                folder.rename(m.temporary, m.path)
 
     def abort(self, messages):
+        folder = Folder(self.folder)
+        there = folder.names()
         for m in messages:
-            if m and m.temporary and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+            if m and m.temporary in there:
+                folder.delete(m.temporary)
 
 
 class WarcSource(DataSource):
@@ -324,31 +323,69 @@ def register(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def read_warcs(spark: SparkSession, path: str, columns: list[str] | None = None, **options) -> DataFrame:
-    """Records of all files; columns asks for a part of the schema, and options are those of the format."""
+def _options_of(where: dict) -> dict[str, str]:
+    """Options of the format that say the same as conditions on columns."""
+    out: dict[str, str] = {}
+    for name, value in where.items():
+        if name == "record_type":
+            out["recordTypes"] = value if isinstance(value, str) else "|".join(value)
+        elif name == "stream_pos":
+            out["streamPos"] = str(int(value))
+        elif name in ("content_length", "block_length"):
+            low, high = value
+            out |= {"lengthBasis": "payload" if name == "content_length" else "block"} | ({} if low is None else {"minContentLength": str(low)}) | ({} if high is None else {"maxContentLength": str(high)})
+        elif name == "block_digest_status" and value == "ok":
+            out["verifyDigests"] = "true"
+        else:
+            raise ValueError(f"the reader can't choose by {name}; filter the records instead")
+    if "content_length" in where and "block_length" in where:
+        raise ValueError("one length at a time")
+    return out
+
+
+def read_warcs(spark: SparkSession, path: str, columns: list[str] | None = None, where: dict | None = None, **options) -> DataFrame:
+    """Records of all files; columns asks for a part of the schema, and options are those of the format.
+
+    where has conditions that the reader applies before it keeps a record's body: record_type (a name or several), stream_pos, content_length or
+    block_length (least, most; None for no bound), and block_digest_status "ok". Each call makes a relation of its own, so nothing is left of them for other queries.
+    """
     register(spark)
     reader = spark.read.format("warc")
     if columns:
         parts = StructType.fromDDL(SCHEMA)
         reader = reader.schema(StructType([parts[c] for c in columns]))
-    return reader.options(**{k: str(v) for k, v in options.items()}).load(path)
+    return reader.options(**_options_of(where or {}), **{k: str(v) for k, v in options.items()}).load(path)
+
 
+def read_all_warcs(files: DataFrame, path: str = "path", columns: list[str] | None = None, split_size: int = SPLIT, tasks: int | None = None, **options) -> DataFrame:
+    """Records of the files that a column of paths names. Files are cut into splits where their codec allows it, and the splits spread over tasks (as many as a shuffle has, if not said), so that one large file is read by many.
 
-def read_all_warcs(files: DataFrame, path: str = "path", columns: list[str] | None = None, **options) -> DataFrame:
-    """Records of the files that a column of paths names, each read by the task that holds its row."""
+    NULL paths are left out; a path that isn't there gives a row that tells so, or ends the job in mode FAILFAST.
+    """
     schema = StructType.fromDDL(SCHEMA)
     if columns:
         schema = StructType([schema[c] for c in columns])
     scan, names, arrow = scan_of(options), schema.names, to_arrow_schema(schema)
+    raw = _flag({k.lower(): v for k, v in options.items()}, "splituncompressed", False)
 
-    def run(batches):
+    def cut(batches):
         for batch in batches:
+            rows = []
             for p in batch.column(0).to_pylist():
-                if p is not None:
-                    size = list_files(p)
-                    yield from batches_of(read_split(Split(p, 0, size[0][1] if size else 0, size[0][1] if size else 0), scan, names), arrow)
+                for name, size in (list_files(p) or [(p, 0)]) if p is not None else []:
+                    kind = codec_of_name(name)
+                    whole = kind == "brotli" or scan.only_pos is not None or (kind in (None, "none") and not raw) or not size
+                    rows += [(name, a, b, size) for a, b in ([(0, size)] if whole else splits_of(size, split_size, min(LEAST_SPLIT, split_size)))]
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], pa.int64() if k else pa.string()) for k, n in enumerate(("path", "start", "stop", "size"))})
+
+    def run(batches):
+        for batch in batches:
+            for p, a, b, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from batches_of(read_split(Split(p, a, b, size), scan, names), arrow)
 
-    return files.select(path).mapInArrow(run, schema)
+    splits = files.select(path).mapInArrow(cut, "path string, start bigint, stop bigint, size bigint")
+    spread = splits.repartition(tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "start")
+    return spread.mapInArrow(run, schema)
 
 
 def extract_record(spark: SparkSession, path: str, offset: int, **options) -> DataFrame:
