@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import digests, encoding, headers, records
 from ..operators import archive, bulk
@@ -102,7 +103,7 @@ def failing_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENCODED = ("", "gzip", "chunked", "deflate+chunked", "zstd")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _packed(data: pd.Series, how: pd.Series) -> pd.Series:
     import zstandard
 
