@@ -94,6 +94,42 @@ def test_ngram_join(spark, copies):
     assert sum(n * r[2] for r, n in got.items()) <= sum(n * r[2] for r, n in want.items())
 
 
+def at_the_threshold(words, sizes, each):
+    """Pairs of texts whose sets of grams have a Jaccard similarity of 0.7 or little more, and others of just less."""
+    rows = []
+    for n in sizes:
+        for k in range(each):
+            w = words(n, seed=10**6 + 1000 * n + k).split()
+            most = int(0.3 / 1.7 * (n - 1)) - k % 2  # of n - 1 grams; a run of m new words changes m + 1
+            rows += [" ".join(w), " ".join(w[:7] + [f"new{n}x{k}x{i}" for i in range(most - 1)] + w[6 + most :]), " ".join(w[:7] + [f"newer{n}x{k}x{i}" for i in range(most + 2)] + w[9 + most :])]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("sample", [None, 1 << 12])
+def test_ngram_join_misses_no_pair(spark, words, copies, monkeypatch, sample):
+    """Sets of all sizes, whether the counts that order the grams are over all texts or few of them."""
+    if sample:
+        monkeypatch.setattr(ngram_join, "ORDER_BYTES", sample, raising=False)
+    rows = at_the_threshold(words, (20, 35, 60, 90, 150, 230, 260, 400, 900), 12)
+    rows += [(10_000 + i, t) for i, t in enumerate(copies)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = by_brute_force(rows)
+    assert sum(r[2] for r in want[: len(rows) - len(copies)]) >= 200
+    assert Counter(tuple(r) for r in ngram_join.near_duplicates(docs).collect()) == Counter(want)
+
+
+def test_ngram_join_of_frequent_grams(spark, words, monkeypatch):
+    """Texts of few words: each gram is in many sets, most of them not similar."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng, few = random.Random(4), words(12, seed=12).split()
+    rows = []
+    for i in range(300):
+        w = [rng.choice(few) for _ in range(rng.choice((3, 8, 20, 45, 120)))]
+        rows += [(3 * i + k, edited(" ".join(w), k * len(w) // 20, rng)) for k in range(3)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter(tuple(r) for r in got) == Counter(by_brute_force(rows))
+
+
 def test_ngram_join_with_keys_of_any_type(spark, copies):
     rows = [(f"https://example.org/{i:04}", t) for i, t in enumerate(copies[:120])]
     docs = spark.createDataFrame(rows, "doc_id string, text string")
