@@ -166,6 +166,12 @@ def test_ngram_filter_keeps_one_of_each_group(spark, copies, clashing):
     assert sum((want - got).values()) == 0 and sum((got - want).values()) <= 0.03 * len(rows)
 
 
+def test_ngram_filter_keeps_no_similar_pair(spark, words):
+    rows = at_the_threshold(words, (60, 260, 400), 8)
+    kept = [r.doc_id for r in ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(kept) == sorted({r[1] for r in by_brute_force(rows)})
+
+
 @pytest.mark.parametrize("edits", [2, 6])
 def test_ngram_hot_group(spark, words, monkeypatch, edits):
     """A group far larger than a block, so that blocks meet; with few edits it is one home, with many it isn't."""
