@@ -571,6 +571,20 @@ def test_pipeline_stages_on_edges(spark, clashing):
     assert empty.collect() == []
 
 
+def test_pipeline_drops_texts_cut_short(spark, words):
+    """Texts and their beginnings, of as few words as are similar to the whole: no pair is left, whatever its size."""
+    from test_search import by_brute_force
+
+    rows = []
+    for n in (25, 37, 54, 78, 112, 161):
+        for k in range(70):
+            w = words(n + 1, seed=2 * 10**6 + 1000 * n + k).split()
+            rows += [" ".join(w), " ".join(w[: -(-7 * n // 10) + 1])]
+    rows = list(enumerate(rows))
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()]
+    assert sorted(kept) == sorted({r[1] for r in by_brute_force(rows)})
+
+
 def test_pipeline_by_brute_force(spark, words, tmp_path):
     """Every stage's rows, told from the rows of the stage before by slow means."""
     from test_search import by_brute_force
