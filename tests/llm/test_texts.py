@@ -4,16 +4,18 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from webarc.llm import bpe, exact_dedup, fingerprints, language_id, mixing, pii, toxicity
+from webarc.llm import bpe, common, exact_dedup, fingerprints, language_id, mixing, ngram_join, pii, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = regex.compile(r"\p{Han}|[^\W_\p{Han}]+")
@@ -571,6 +573,32 @@ def test_pipeline_stages_on_edges(spark, clashing):
     assert empty.collect() == []
 
 
+def peak_mb(run):
+    """Of what Python and numpy allocate meanwhile."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_pipeline_workers_stay_small(spark, words, monkeypatch):
+    """The memory of executors is shared with their Python workers: class tables and sets are made in little of it, and mixing needs no workers."""
+    monkeypatch.setattr(common, "_CLASSES", {})
+    monkeypatch.setattr(common, "_POWERS", {})
+    assert peak_mb(lambda: [common._class_table(k) for k in common._KINDS]) < 50
+    rows = pa.RecordBatch.from_pydict({"id": range(2000), "t": [words(300) for _ in range(2000)]})
+    assert rows.nbytes > 2 << 20
+    assert peak_mb(lambda: list(ngram_join._identify(2)([rows]))) < 60
+    assert peak_mb(lambda: list(ngram_join._sets(2)([rows.select(["t"])]))) < 60
+    sizes = spark.createDataFrame([("=a", 5), ("=b", 9), ("", 2)], "s string, n bigint")
+    shares, table = mixing._shares(spark, sizes)
+    assert "ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in table.collect()) == sorted((x.source, x.total, x.weight, x.full, x.rest, x.quota) for x in shares)
+    assert mixing._shares(spark, sizes.limit(0))[1].collect() == []
+
+
 def test_pipeline_drops_texts_cut_short(spark, words):
     """Texts and their beginnings, of as few words as are similar to the whole: no pair is left, whatever its size."""
     from test_search import by_brute_force

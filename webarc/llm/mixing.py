@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +109,9 @@ def _order(key, epoch):
 def _shares(spark: SparkSession, sizes: DataFrame, **limits) -> tuple[list[Share], DataFrame]:
     found = sizes.groupBy("s").agg(F.sum("n").alias("t")).orderBy("s").collect()
     shares = plan([(r["s"], r["t"] or 0) for r in found], **limits)
-    table = spark.createDataFrame([(x.source, x.total, x.weight, x.full, x.rest, x.quota) for x in shares], "s string, total bigint, weight double, full bigint, rest bigint, quota bigint")
+    kinds = {"source": pa.string(), "total": pa.int64(), "weight": pa.float64(), "full": pa.int64(), "rest": pa.int64(), "quota": pa.int64()}
+    # not from a list: Python processes on the executors would make its rows and stay for a minute
+    table = spark.createDataFrame(pa.table({k: pa.array([getattr(x, k) for x in shares], kind) for k, kind in kinds.items()})).withColumnRenamed("source", "s")
     return shares, keep_small_side(table, len(shares), BROADCAST_SOURCES)
 
 
