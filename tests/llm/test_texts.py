@@ -599,6 +599,28 @@ def test_pipeline_workers_stay_small(spark, words, monkeypatch):
     assert mixing._shares(spark, sizes.limit(0))[1].collect() == []
 
 
+def test_pipeline_batches_and_slices_stay_small(spark, words):
+    """Batches of texts are held several times, by the JVM and by workers, and encoding takes many times its texts; both are small, and sizes change no token."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = [words(300) for _ in range(2000)]
+    common.small_batches(spark)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    found = [r["n"] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) > 2 << 20 > max(found)
+
+    class Shipped:
+        value = bpe.encoder(os.path.join(bpe.FOLDER, bpe.VOCABULARY))
+
+    run = bpe._encoded(Shipped, [], ["tokens", "n_tokens", "round_trip"], True)
+    rows = pa.RecordBatch.from_pydict({"__wa_text": texts})
+    out = []
+    common._class_table("split")
+    assert peak_mb(lambda: out.extend(run([rows]))) < 40
+    got = pa.Table.from_batches(out).to_pylist()
+    assert [r["tokens"] for r in got[:50]] == [Shipped.value.encode(t).tolist() for t in texts[:50]]
+    assert len(got) == len(texts) and all(r["round_trip"] and r["n_tokens"] == len(r["tokens"]) for r in got)
+
+
 def test_pipeline_drops_texts_cut_short(spark, words):
     """Texts and their beginnings, of as few words as are similar to the whole: no pair is left, whatever its size."""
     from test_search import by_brute_force

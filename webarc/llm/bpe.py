@@ -28,6 +28,8 @@ FOLDER = os.environ.get("WEBARC_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a task keeps the tokens of.
 REMEMBERED = 1 << 18
+#: Texts are encoded in about so many bytes at once; arrays over their words take up to 100 times that.
+SLICE = 1 << 17
 #: Splits a text into words, each encoded on its own; every character belongs to one. split_words says the same for arrays.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -395,6 +397,26 @@ def same_bytes(e: Encoder, ids: np.ndarray, sizes: np.ndarray, texts: pa.Array)
     return np.array([bool(g) and np.array_equal(decoded[at[i] : at[i + 1]], raw[offs[i] : offs[i + 1]]) for i, g in enumerate(good)], bool)
 
 
+def _encoded(shipped, given: list[str], new: list[str], check: bool):
+    """The columns in given, and those named by new, from the text behind them; shipped is a broadcast."""
+
+    def run(batches):
+        e, known = shipped.value, Known()
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("__wa_text"))
+            for a, b in slices(column, SLICE):
+                texts = column.slice(a, b - a)
+                missing = np.asarray(texts.is_null())
+                values, sizes = e.encode_many(texts, known)
+                offs = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), mask=np.r_[missing, False])
+                arrays = [pa.ListArray.from_arrays(offs, pa.array(values)), pa.array(sizes, mask=missing)]
+                if check:
+                    arrays.append(pa.array(same_bytes(e, values, sizes, texts), mask=missing))
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(given))] + arrays, names=given + new)
+
+    return run
+
+
 def tokenize(docs: DataFrame, text: str = "text", path: str | None = None, keep: list[str] | None = None, tokens: str = "tokens", count: str = "n_tokens", check: str | None = "round_trip") -> DataFrame:
     """The columns in keep (all, if None), the token ids of the text, their number, and whether decoding gives the text back.
 
@@ -409,21 +431,7 @@ def tokenize(docs: DataFrame, text: str = "text", path: str | None = None, keep:
     source = docs.select(*[F.col(f"`{c}`") for c in given], F.col(f"`{text}`").alias("__wa_text"))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in given] + [f"`{k}` {v}" for k, v in new.items()])
 
-    def run(batches):
-        e, known = shipped.value, Known()
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index("__wa_text"))
-            for a, b in slices(column, 1 << 19):
-                texts = column.slice(a, b - a)
-                missing = np.asarray(texts.is_null())
-                values, sizes = e.encode_many(texts, known)
-                offs = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), mask=np.r_[missing, False])
-                arrays = [pa.ListArray.from_arrays(offs, pa.array(values)), pa.array(sizes, mask=missing)]
-                if check:
-                    arrays.append(pa.array(same_bytes(e, values, sizes, texts), mask=missing))
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(given))] + arrays, names=given + list(new))
-
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(_encoded(shipped, given, list(new), bool(check)), schema)
 
 
 def detokenize(rows: DataFrame, tokens: str = "tokens", path: str | None = None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
