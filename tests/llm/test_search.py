@@ -130,6 +130,26 @@ def test_ngram_join_of_frequent_grams(spark, words, monkeypatch):
     assert Counter(tuple(r) for r in got) == Counter(by_brute_force(rows))
 
 
+def test_ngram_join_sends_few_sets(spark, monkeypatch):
+    """Texts that aren't similar: of grams that the sample doesn't know, those of rare words are taken, and sets that only share a passage are parted before their grams are sent."""
+    rng = random.Random(11)
+    common, rare = [f"the{i}" for i in range(12)], [f"word{i}" for i in range(4000)]
+    passage = " ".join(rng.choice(rare) for _ in range(60))
+    texts = [" ".join(rng.choice(rare if rng.random() < 0.5 else common) for _ in range(120)) + (" " + passage if i < 40 else "") for i in range(400)]
+    made, write = {}, ngram_join.Stored.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Stored, "write", counted)
+    monkeypatch.setattr(ngram_join, "ORDER_BYTES", 40_000)
+    got = ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert len(got) == 400 and not any(r["n_links"] for r in got)
+    assert made["met"] < 400 and made["grams"] == 0
+
+
 def test_ngram_join_with_keys_of_any_type(spark, copies):
     rows = [(f"https://example.org/{i:04}", t) for i, t in enumerate(copies[:120])]
     docs = spark.createDataFrame(rows, "doc_id string, text string")
