@@ -58,6 +58,14 @@ def test_record_columns(spark, tmp_path):
     assert read_warcs(spark, str(tmp_path / "x.warc")).count() == 2
 
 
+def test_record_dates_of_far_years(spark):
+    """Nanoseconds end in 2262, datetime in 9999."""
+    days = [0, 106_752, 899_999, 2_932_897, 5_399_999]
+    made = spark.createDataFrame([(d,) for d in days], "d bigint").select("d", records.record_headers(F.lit("resource"), records.record_id("d"), F.timestamp_seconds(F.col("d") * 86400)).alias("h"))
+    read = made.select("d", records.parse_warc_record(records.to_record("WARC/1.1", "h", F.lit(b"x"))).alias("r"))
+    assert sorted(tuple(r) for r in read.select("d", F.unix_timestamp("r.record_date")).collect()) == [(d, d * 86400) for d in days]
+
+
 def test_character_data():
     n = Node(TEXT, "#text", "abcdef")
     n.insert_data(1, "X")

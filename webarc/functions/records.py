@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..sources.records import RecordError, check_digest, parse_date, record_bytes, status_parts
+from ..sources.records import RecordError, check_digest, date_micros, record_bytes, status_parts
 from ..sources.warc import parse_record
 from .headers import header_set
 
@@ -28,7 +29,7 @@ def _fields(data: bytes, http: bool, decode: str) -> dict:
         return dict.fromkeys(_NAMES) | {"error": "no record"}
     pairs = lambda v: [{"key": k, "value": x} for k, x in v]
     return {
-        "warc_version": r.warc_version, "record_id": r.get("WARC-Record-ID"), "record_type": r.record_type, "record_date": parse_date(r.get("WARC-Date")), "target_uri": r.get("WARC-Target-URI"), "block_length": r.block_length,
+        "warc_version": r.warc_version, "record_id": r.get("WARC-Record-ID"), "record_type": r.record_type, "record_date": date_micros(r.get("WARC-Date")), "target_uri": r.get("WARC-Target-URI"), "block_length": r.block_length,
         "content_length": r.content_length, "headers": pairs(r.headers), "is_http": r.is_http, "http_status": status_parts(r.http_status_line)[0], "http_headers": pairs(r.http_headers),
         "block_digest_status": check_digest(r.block, r.get("WARC-Block-Digest")), "payload": r.payload, "error": None,
     }
@@ -41,7 +42,8 @@ def parse_warc_record(data: Column | str, http: bool = True, decode: str = "none
     def run(s: pd.Series) -> pd.DataFrame:
         rows = [dict.fromkeys(_NAMES) if d is None else _fields(bytes(d), http, decode) for d in s]
         out = pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in _NAMES})
-        return out.assign(http_status=out["http_status"].astype("Int32"), block_length=out["block_length"].astype("Int64"), content_length=out["content_length"].astype("Int64"), record_date=pd.to_datetime(out["record_date"], utc=True))
+        dates = pd.Series(np.array([r["record_date"] for r in rows], "datetime64[us]"))  # in nanoseconds, years end with 2262
+        return out.assign(http_status=out["http_status"].astype("Int32"), block_length=out["block_length"].astype("Int64"), content_length=out["content_length"].astype("Int64"), record_date=dates.dt.tz_localize("UTC"))
 
     return F.when(_c(data).isNotNull(), run(_c(data)))
 
