@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webarc.functions import digests, encoding, headers, lang
 from webarc.operators import lang_jobs
+from webarc.plans.queries import queries
 
 DDL = "h array<struct<key:string,value:string>>"
 
@@ -43,6 +44,13 @@ def test_digest_columns(spark, name):
     assert [r[0] for r in df.select(digests.digest_status("d", "v")).collect()] == ["ok", "fail", "ok", "missing", "no_payload", "format", "format", "unsupported"]
 
 
+def test_short_bodies_are_cut_in_two(spark, tmp_path):
+    texts = [None, "", "a", "ab", "é", "abc", "ab" * 40]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["md5"], r["n_chunks"]) for r in queries()["chunked_bodies"](spark, str(tmp_path)).collect()}
+    assert got == {i: (None, 0) if t is None else (hashlib.md5(t.encode()).hexdigest(), min(2, len(t.encode()))) for i, t in enumerate(texts)}
+
+
 def test_encodings():
     e = encoding
     assert e.detect_encoding(b"plain") == "cp1252" and e.detect_encoding(b"plain", html5=False) == "ascii" and e.detect_encoding(b"") == "utf-8" and e.detect_encoding(b"", html5=False) is None

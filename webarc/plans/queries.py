@@ -160,11 +160,11 @@ def detected_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunked_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text is cut in two chunks and put together again."""
     d = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
-    half = (F.length("b") / 2).cast("int") + 1
+    half = F.ceil(F.length("b") / 2).cast("int")
     chunk = lambda x: F.concat(F.encode(F.concat(F.lower(F.hex(F.length(x).cast("bigint"))), F.lit("\r\n")), "UTF-8"), x, F.encode(F.lit("\r\n"), "UTF-8"))
     first, second = F.substring("b", 1, half), F.substring("b", half + 1, F.length("b"))
     body = F.concat(chunk(first), F.when(F.length(second) > 0, chunk(second)).otherwise(F.encode(F.lit(""), "UTF-8")), F.encode(F.lit("0\r\n\r\n"), "UTF-8"))
-    return d.select("doc_id", F.md5(encoding.dechunked(body)).alias("md5"), F.size(encoding.http_chunks(body)).alias("n_chunks"))
+    return d.select("doc_id", F.md5(encoding.dechunked(body)).alias("md5"), F.coalesce(F.size(encoding.http_chunks(body)), F.lit(0)).alias("n_chunks"))
 
 
 # ---- pages ----------------------------------------------------------------------------------------
