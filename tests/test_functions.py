@@ -61,6 +61,10 @@ def test_encodings():
     page = '<meta charset="windows-1251"><p>é'.encode()
     assert e.detect_encoding(page) == "utf-8" and e.detect_encoding(page, from_meta=True) == "cp1251"
     assert e.detect_encoding(b"a" * 300 + "é".encode(), max_len=100) == "utf-8"
+    for text in ("é" * 150, "a" + "é" * 150, "a" * 150 + "é" + "a" * 150, "a" * 49 + "日" * 60):  # cut within a character, and nothing but ASCII at the ends
+        assert e.detect_encoding(text.encode(), max_len=100) == "utf-8"
+    assert e.detect_encoding(b"a" * 300, max_len=100) == "cp1252" and e.detect_encoding("a".encode() + "é".encode() * 80 + b"\xff" + "é".encode() * 80, max_len=100) == "utf-8"
+    assert e.detect_encoding(("日本語のテキストです。" * 9).encode("shift-jis"), max_len=101) == "shift-jis"
     d = e.EncodingDetector().update(b"a").update("é".encode())
     assert d.encoding() == "utf-8"
     d.reset()
