@@ -3,6 +3,7 @@
 import json
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_records import warc, write_file
@@ -166,3 +167,16 @@ def test_stream(spark, tmp_path):
     write_file(tmp_path / "in" / "2.warc.gz", [warc(n=3)], "gzip")
     run()
     assert sorted(r.record_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["<urn:uuid:1>", "<urn:uuid:2>", "<urn:uuid:3>"]
+
+
+def test_python_workers_get_small_batches(spark):
+    """Pages are parsed about a megabyte at a time, not by thousands."""
+    pages = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 4000).alias("html"), "id")
+    seen = pages.mapInPandas(lambda batches: (b.assign(rows=len(b))[["rows"]] for b in batches), "rows bigint").agg(F.max("rows")).first()[0]
+    assert seen < 1000
+
+    @F.pandas_udf("bigint")
+    def rows(h: pd.Series) -> pd.Series:
+        return pd.Series([len(h)] * len(h))
+
+    assert pages.select(rows("html").alias("rows")).agg(F.max("rows")).first()[0] < 1000
