@@ -2,16 +2,18 @@
 
 import gzip
 import io
+import random
 import zlib
 
 import pytest
 import zstandard
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from webarc.sources import codecs
 from webarc.sources.codecs import Buffered, CodecError, compress, members, next_member, sniff
 from webarc.sources.records import RecordError, Scan, check_digest, chunks_of, content_charset, decode_chunked, decode_payload, digest, header_pairs, parse_date, parse_http_date, record_bytes, status_parts
-from webarc.sources.warc import extract_record, parse_record, read_all_warcs, read_warcs, register, type_mask
+from webarc.sources.warc import Split, WarcReader, extract_record, packed, parse_record, read_all_warcs, read_warcs, register, type_mask
 from webarc.sources.files import match_files, splits_of
 from webarc.sources.text import read_text
 
@@ -278,3 +280,15 @@ def test_all_files_in_splits_and_written_by_uri(spark, tmp_path):
     got = read_all_warcs(files, columns=["path", "target_uri", "payload", "corrupt_reason"], split_size=2000, tasks=5).collect()
     assert sorted((r.path, r.target_uri, bytes(r.payload)) for r in got if r.target_uri) == sorted((n, u, p) for n in names for _, u, _, p in rows)
     assert [r.path for r in got if r.corrupt_reason] == [str(tmp_path / "none.warc.gz")]
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    """Each split is read on its own, but many by one task."""
+    for k in range(2):
+        write_file(tmp_path / f"{k}.warc.gz", [warc(n=100 * k + i, body=bytes(random.Random(i).randbytes(2000))) for i in range(100)], "gzip")
+    reader = WarcReader(StructType([StructField("record_id", StringType())]), {"path": str(tmp_path), "splitSize": "500"})
+    splits, tasks = reader.splits(), reader.partitions()
+    assert [s for t in tasks for s in t.parts] == splits and len(splits) > 700 and len(tasks) <= 100
+    assert packed([Split("a", 0, 128 << 20, 256 << 20), Split("a", 128 << 20, 256 << 20, 256 << 20)])[1].parts[0].start == 128 << 20 and packed([]) == []
+    r = read_warcs(spark, str(tmp_path), ["record_id"], splitSize=500)
+    assert r.rdd.getNumPartitions() <= 100 and r.count() == r.distinct().count() == 200

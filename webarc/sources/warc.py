@@ -12,6 +12,7 @@ from Spark's planner: in 4.1 a relation keeps what one query pushed down, and ot
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ http_reason string, http_headers {PAIRS}, http_content_type string, http_charset
 block_sha1 string, payload binary, raw_warc_headers binary, raw_http_headers binary, corrupt_reason string"""
 BATCH_BYTES = 8 << 20
 SPLIT, LEAST_SPLIT = 128 << 20, 16 << 20
+#: Splits of fewer bytes share a task, but with few bytes there are about so many tasks.
+LEAST_TASK, TASKS = 4 << 20, 64
 
 
 def type_mask(value: str | int | None) -> int:
@@ -105,6 +108,27 @@ class Split(InputPartition):
     size: int
 
 
+@dataclass
+class Splits(InputPartition):
+    """Small splits that a task reads one after the other."""
+
+    parts: list[Split]
+
+
+def packed(splits: list[Split]) -> list[Splits]:
+    """Splits in order, so many together that a task has about LEAST_TASK bytes, if TASKS tasks have work then: a task has a cost of its own, however little it reads."""
+    least = min(LEAST_TASK, sum(s.stop - s.start for s in splits) // TASKS)
+    out: list[Splits] = []
+    held = least
+    for s in splits:
+        if not out or held + s.stop - s.start > least:
+            out.append(Splits([]))
+            held = 0
+        out[-1].parts.append(s)
+        held += s.stop - s.start
+    return out
+
+
 def read_split(split: Split, scan: Scan, names: list[str], codec: str | None = None) -> Iterator[tuple]:
     """A row (values of the named columns) for each record of the split. Errors in opening a file give a row that tells it, but in strict mode."""
     get = [COLUMNS.get(n, lambda r, p: None) for n in names]
@@ -186,6 +210,9 @@ class WarcReader(DataSourceReader):
             self.scan.parse_http = False
 
     def partitions(self):
+        return packed(self.splits()) or [Splits([])]
+
+    def splits(self) -> list[Split]:
         path = self.options.get("path")
         if not path:
             raise ValueError("no path")
@@ -196,11 +223,11 @@ class WarcReader(DataSourceReader):
             kind = codec_of_name(p)
             whole = kind == "brotli" or self.scan.only_pos is not None or (kind in (None, "none") and not raw) or self.options.get("compression", "auto") == "brotli"
             out += [Split(p, a, b, size) for a, b in ([(0, size)] if whole else splits_of(size, split, min(LEAST_SPLIT, split)))]
-        return out or [Split("", 0, 0, 0)]
+        return out
 
-    def read(self, partition: Split):
-        if partition.path:
-            yield from batches_of(read_split(partition, self.scan, self.names, self.options.get("compression")), self.arrow)
+    def read(self, partition: Splits):
+        codec = self.options.get("compression")
+        yield from batches_of(itertools.chain.from_iterable(read_split(s, self.scan, self.names, codec) for s in partition.parts), self.arrow)
 
 
 class WarcStreamReader(DataSourceStreamReader):
@@ -216,7 +243,7 @@ class WarcStreamReader(DataSourceStreamReader):
         return {"upto": max((p for p, _ in list_files(self.reader.options["path"])), default="")}
 
     def partitions(self, start, end):
-        return [s for s in self.reader.partitions() if s.path and start["upto"] < s.path <= end["upto"]]
+        return packed([s for s in self.reader.splits() if start["upto"] < s.path <= end["upto"]])
 
     def read(self, partition):
         yield from self.reader.read(partition)
