@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -152,3 +153,16 @@ def test_dataset(spark):
     d = lang_jobs.create_dataset(spark.createDataFrame(rows, "lang string, text string"), min_examples=5)
     got = {r.split: r["count"] for r in d.groupBy("split").count().collect()}
     assert got == {"test": 2, "val": 2, "train": 16} and {r.lang for r in d.collect()} == {"a"}
+
+
+def test_dataset_spreads_a_language(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [("a" if i % 10 else None, f"text number {i} " + "x" * 200) for i in range(2000)]
+        d = lang_jobs.create_dataset(spark.createDataFrame(rows, "lang string, text string")).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(Counter(r.task for r in d).values()) < 1000
+    for name, n in (("a", 1800), (None, 200)):
+        order = sorted((hashlib.sha1(r.text.encode()).hexdigest(), r.split) for r in d if r.lang == name)
+        assert [x for _, x in order] == ["test"] * (n // 10) + ["val"] * (n // 10) + ["train"] * (n * 8 // 10)

@@ -22,15 +22,21 @@ def _nfkc(s: pd.Series) -> pd.Series:
 def create_dataset(texts: DataFrame, text: str = "text", lang: str = "lang", least_chars: int = 200, min_examples: int = 0, val: float = 0.1, test: float = 0.1) -> DataFrame:
     """(lang, text, split): texts normalised, short ones and repeats left out, languages with too few left out, the rest split by a hash order.
 
-    Link brackets go, and so do lines that open a document tag. The split is the same however the rows are ordered.
+    Link brackets go, and so do lines that open a document tag. The split is the same however the rows are ordered. Hashes that begin alike are ordered in a task, and counts say how many come before them, so no task sorts a whole language.
     """
     clean = F.replace(F.replace(_nfkc(F.col(text)), F.lit("[["), F.lit("")), F.lit("]]"), F.lit(""))
     rows = texts.select(F.col(lang).alias("lang"), F.trim(clean).alias("text")).filter((F.length("text") >= least_chars) & ~F.startswith("text", F.lit("<doc")))
-    rows = rows.withColumn("h", F.sha1("text")).dropDuplicates(["h"])
-    by = Window.partitionBy("lang")
-    share = (F.row_number().over(by.orderBy("h")) - 1) / F.count("*").over(by)
+    rows = rows.withColumn("h", F.sha1("text")).withColumn("part", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
+    rows = rows.repartition("part").dropDuplicates(["part", "h"])
+    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    each = rows.groupBy("lang", "part").agg(F.count("*").alias("here"))  # of each language, 4096 rows at most
+    placed = each.select("lang", "part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"), F.sum("here").over(Window.partitionBy("lang")).alias("n")).filter(F.col("n") >= min_examples)
+    known = placed.select(F.col("lang").alias("l"), F.col("part").alias("p"), "before", "n")
+    at = F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))
+    found = rows.withColumn("at", at).join(F.broadcast(known), F.col("lang").eqNullSafe(F.col("l")) & (F.col("part") == F.col("p")))
+    share = (F.col("before") + F.col("at") - 1) / F.col("n")
     split = F.when(share < test, "test").when(share < test + val, "val").otherwise("train")
-    return rows.withColumn("n", F.count("*").over(by)).filter(F.col("n") >= min_examples).select("lang", "text", split.alias("split"))
+    return found.select("lang", "text", split.alias("split"))
 
 
 def train_profiles(texts: DataFrame, text: str = "text", lang: str = "lang", bins: int = BINS) -> DataFrame:
