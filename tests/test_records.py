@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from webarc.sources import codecs
+from webarc.sources import codecs, text
 from webarc.sources.codecs import Buffered, CodecError, compress, members, next_member, sniff
 from webarc.sources.records import RecordError, Scan, check_digest, chunks_of, content_charset, decode_chunked, decode_payload, digest, header_pairs, parse_date, parse_http_date, record_bytes, status_parts
 from webarc.sources.warc import Split, WarcReader, extract_record, packed, parse_record, read_all_warcs, read_warcs, register, type_mask
@@ -292,3 +292,11 @@ def test_small_splits_share_tasks(spark, tmp_path):
     assert packed([Split("a", 0, 128 << 20, 256 << 20), Split("a", 128 << 20, 256 << 20, 256 << 20)])[1].parts[0].start == 128 << 20 and packed([]) == []
     r = read_warcs(spark, str(tmp_path), ["record_id"], splitSize=500)
     assert r.rdd.getNumPartitions() <= 100 and r.count() == r.distinct().count() == 200
+
+
+def test_lines_are_read_by_tasks_by_their_bytes(spark, tmp_path, monkeypatch):
+    """Splits are small rows; how much there is to read behind them tells how many tasks there are."""
+    monkeypatch.setattr(text, "TASK", 2000, raising=False)
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(5000)))
+    lines = read_text(spark, str(tmp_path / "a.txt"), desired_split_size=500, min_split_size=100)
+    assert lines.rdd.getNumPartitions() >= 20 and sorted(r.line for r in lines.collect()) == sorted(f"line {i}" for i in range(5000))

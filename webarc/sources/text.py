@@ -11,7 +11,9 @@ from .codecs import codec_of_name, members
 from .files import ALLOW_IF_WILDCARD, match_files, open_file, splits_of
 
 SPLIT, LEAST = 64 << 20, 1 << 20
-_BATCH = 4 << 20
+#: Bytes that a task reads, if there are more than a shuffle has tasks for.
+TASK = 16 << 20
+_BATCH = 1 << 20
 
 
 def read_text(spark: SparkSession, pattern: str, empty: str = ALLOW_IF_WILDCARD, desired_split_size: int = SPLIT, min_split_size: int = LEAST, shuffle_splits: bool = True, encoding: str | None = None) -> DataFrame:
@@ -37,7 +39,8 @@ def read_all_text(files: DataFrame, desired: int = SPLIT, least: int = LEAST, sh
     """(path, line) of files (path, size). A line belongs to the split in which it starts; the last one needs no line end."""
     splits = text_splits(files, desired, least)
     if shuffle:
-        splits = splits.repartition(F.xxhash64("path", "start"))
+        total = files.agg(F.sum("size")).first()[0] or 0  # the splits' own bytes don't tell Spark how much there is to read
+        splits = splits.repartition(max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK), F.xxhash64("path", "start"))
 
     def run(batches):
         for batch in batches:
