@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import regex
 
+import corpus_pipeline
 from webarc.llm import ngram_join, paragraphs, suffix_dedup
 from webarc.llm.common import components, distinct_per_row
 
@@ -130,7 +131,8 @@ def test_ngram_join_of_frequent_grams(spark, words, monkeypatch):
     assert Counter(tuple(r) for r in got) == Counter(by_brute_force(rows))
 
 
-def test_ngram_join_sends_few_sets(spark, monkeypatch):
+@pytest.mark.parametrize("only_kept", [False, True])
+def test_ngram_join_sends_few_sets(spark, monkeypatch, only_kept):
     """Texts that aren't similar: of grams that the sample doesn't know, those of rare words are taken, and sets that only share a passage are parted before their grams are sent."""
     rng = random.Random(11)
     common, rare = [f"the{i}" for i in range(12)], [f"word{i}" for i in range(4000)]
@@ -145,8 +147,12 @@ def test_ngram_join_sends_few_sets(spark, monkeypatch):
 
     monkeypatch.setattr(ngram_join.Stored, "write", counted)
     monkeypatch.setattr(ngram_join, "ORDER_BYTES", 40_000)
-    got = ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
-    assert len(got) == 400 and not any(r["n_links"] for r in got)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    if only_kept:
+        assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 400
+    else:
+        got = ngram_join.near_duplicates(docs).collect()
+        assert len(got) == 400 and not any(r["n_links"] for r in got)
     assert made["met"] < 400 and made["grams"] == 0
 
 
